@@ -1,0 +1,22 @@
+"""A global order without a single-task window."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..session import Scratch
+
+
+def numbered(scratch: Scratch, df: DataFrame, order: list[Column], out: str = "n") -> DataFrame:
+    """``df`` with its rank 0.. by ``order``, which must be total.
+
+    Rows are range-partitioned and written, so that a task run again sees the same rows; each
+    partition numbers its own rows, and the partitions' offsets (one row a partition) are added.
+    """
+    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    kept = scratch.stage(parts)
+    sizes = kept.groupBy("_p").count()
+    before = F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
+    inner = F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    return kept.withColumn("_i", inner).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_i") - 1 + F.col("_o")).drop("_p", "_i", "_o")
