@@ -78,3 +78,14 @@ class Scratch:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
+    """``df`` hashed by ``key`` over the cores when its scan has fewer tasks than cores; a scan of many splits stays as it is.
+
+    For Python stages over small tables of few files; at scale the scan has enough tasks and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * per_core, key)
