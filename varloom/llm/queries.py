@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
 from . import sql
+from .bpe import decode_ids, encode_texts
 from .components import connected_components
 from .cutoff import keep_fraction
+from .leaks import leaked_spans, remove_spans
 from .splits import assign_splits, broken_families, families
 from .topn import top_n
 
@@ -46,5 +48,35 @@ def p6_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return _cut(spark, d)[0].select("source", F.col("n").alias("n_records"), F.col("k").alias("n_target"), "cutoff", F.col("kept").alias("n_kept"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p6_found": p6_found, "p6_cutoffs": p6_cutoffs}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Checksums of the texts that the ids decode to."""
+    return decode_ids(p7_ids(spark, d)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with leaks, without the leaked spans."""
+    docs = table(spark, d, "documents")
+    return remove_spans(docs, leaked_spans(docs, table(spark, d, "eval_items")))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_splits": p2_splits,
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_cutoffs": p6_cutoffs,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p8_found": p8_found,
+    "p8_cleaned": p8_cleaned,
+}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

@@ -19,4 +19,5 @@ ORACLES = {
     "p6_found": _P6 + "SELECT w.source, w.symbol FROM w JOIN c USING (source) WHERE w.score >= c.cutoff",
     "p6_cutoffs": _P6
     + "SELECT c.source, c.n AS n_records, c.k AS n_target, c.cutoff, count(*) AS n_kept FROM w JOIN c USING (source) WHERE w.score >= c.cutoff GROUP BY ALL",
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
 }
