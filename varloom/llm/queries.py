@@ -9,6 +9,7 @@ from . import sql
 from .bpe import decode_ids, encode_texts
 from .components import connected_components
 from .cutoff import keep_fraction
+from .language import language_segments, wrong_labels
 from .leaks import leaked_spans, remove_spans
 from .splits import assign_splits, broken_families, families
 from .topn import top_n
@@ -67,6 +68,16 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return remove_spans(docs, leaked_spans(docs, table(spark, d, "eval_items")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_labels(language_segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))).select("doc_id", "segment", "lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's stretches with their confidence."""
+    s = language_segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+    return s.select("doc_id", "segment", "lang", F.round("confidence", 6).alias("confidence"), "sentences")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -78,5 +89,7 @@ QUERIES = {
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
     "p8_cleaned": p8_cleaned,
+    "p9_found": p9_found,
+    "p9_languages": p9_languages,
 }
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
