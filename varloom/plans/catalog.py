@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import annotation, matrices, models, problems
 
-MODULES = (problems,)
+MODULES = (problems, annotation, matrices, models)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
