@@ -17,6 +17,7 @@ the odd foreign phrase.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -52,10 +53,12 @@ NAMES = {
 _CODE = {n: code for code, names in NAMES.items() for n in names.split()}
 
 _LETTERS = regex.compile(r"\b[\p{L}\p{M}]{2,}+\b")
-_TABLE_LINE = regex.compile(r"^[^\n]*\t[^\n]*$", regex.M)
-# a sentence ends at a mark that blank space follows; blank lines and list marks end one as well
-_CUT = regex.compile(r"""(?<=[.?!…][\p{Pe}\p{Pf}"'*_]{0,3})\s+|\n[ \t\r]*\n\s*|\n(?=[ \t]*[-*•] )""")
-_ENDED = regex.compile(r"""[.?!…][\p{Pe}\p{Pf}"'*_]{0,3}\s*$""")
+_ASCII_LETTERS = re.compile(r"\b[A-Za-z]{2,}\b", re.ASCII)
+_TABLE_LINE = re.compile(r"^[^\n]*\t[^\n]*$", re.M)
+# a sentence ends at a mark, maybe with closing signs, that blank space follows; blank lines and list marks end one as well
+_MARK = r"""[.?!\u2026][)\]}"'\u00bb\u201d\u2019\u203a*_]{0,3}"""
+_CUT = re.compile(rf"({_MARK})\s+|\n[ \t\r]*\n\s*|\n(?=[ \t]*[-*\u2022] )")
+_ENDED = re.compile(rf"{_MARK}\s*$")
 
 
 def plain(word: str) -> str:
@@ -65,7 +68,7 @@ def plain(word: str) -> str:
 
 def language_words(text: str) -> list[str]:
     """Words of letters only; sequences over a few letters and very long runs are identifiers."""
-    return [w for w in _LETTERS.findall(text) if len(w) < 12 or (len(w) <= 40 and len(set(w)) > 5)]
+    return [w for w in (_ASCII_LETTERS if text.isascii() else _LETTERS).findall(text) if len(w) < 12 or (len(w) <= 40 and len(set(w)) > 5)]
 
 
 def label_code(label: str | None) -> str | None:
@@ -128,7 +131,7 @@ def units(text: str) -> list[Unit]:
     """Sentences and what stands between them, in reading order."""
     masked = _TABLE_LINE.sub(lambda m: " " * len(m[0]), text) if "\t" in text else text
     out, at = [], 0
-    ends = [(m.start(), m.end()) for m in _CUT.finditer(masked)] + [(len(masked), len(masked))]
+    ends = [(m.end(1) if m[1] else m.start(), m.end()) for m in _CUT.finditer(masked)] + [(len(masked), len(masked))]
     for stop, nxt in ends:
         part = masked[at:stop]
         words = language_words(part)

@@ -1,7 +1,7 @@
 """Held-out evaluation passages inside a training corpus.
 
-The passages' normalised n-grams go to every worker as a hash set: single words that only a few
-passages hold (names and numbers, as a rule) and all word pairs. Each document's words are scanned
+The passages' normalised n-grams go to every worker as a hash set: single names and numbers that
+only a few passages hold, and all word pairs. Each document's words are scanned
 once; where a rare word of a passage stands, the window around it is checked for the passage's
 pairs, and a window with enough of them is verified by a local alignment of words: +1 for a word
 that agrees, -2 for one that is changed, lost or added, so that a stretch scores above zero exactly
@@ -16,6 +16,7 @@ grows with the number of passages.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,7 +24,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import spread
@@ -32,15 +32,19 @@ from ..session import spread
 LEAST = 12
 #: Pairs of the passage that a window must hold before it is aligned, and cost of a run of foreign sentences.
 PAIRS, JUMP = 4, 3
-#: A word is rare if at most this share of the passages (but three at least) hold it; share of rare words that must agree.
+#: A name or number is rare if at most this share of the passages (but three at least) hold it; share of them that must agree.
+#: A passage with fewer than two of them takes all its words that few passages hold.
 RARE, AGREE = 0.025, 1 / 2
 #: Most passages of one block, and most characters of them (the broadcast is some tens of times that).
 BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 
-_INLINE = regex.compile(r"</?(?:i|b|em|strong|u|s|span|a|sup|sub|code|mark|small|font)\b[^<>\n]{0,200}>", regex.I)
-_TAG = regex.compile(r"<[^<>\n]{1,200}>|&(?:\w{2,10}|#\w{1,7});|(?<=\])\([^()\s]{1,400}\)")
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}\p{Cf}]+(?:(?:[-‐‑'’_*~`]+|[-‐‑][ \t]*\r?\n[ \t]*)[\p{L}\p{N}\p{M}\p{Cf}]+)*")
-_SENTENCE = regex.compile(r"(?<=[.?!])\s+")
+_INLINE = re.compile(r"</?(?:i|b|em|strong|u|s|span|a|sup|sub|code|mark|small|font)\b[^<>\n]{0,200}>", re.I)
+_TAG = re.compile(r"<[^<>\n]{1,200}>|&(?:\w{2,10}|#\w{1,7});|(?<=\])\([^()\s]{1,400}\)")
+# letters, digits, combining marks and invisible characters, joined by hyphens, quotes and markup; a hyphen may end a line
+_PART = r"[\w\u0300-\u036f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+"
+_WORD = re.compile(_PART + r"(?:(?:[-\u2010\u2011'\u2019*~`]+|[-\u2010\u2011][ \t]*\r?\n[ \t]*)" + _PART + ")*")
+_ASCII_WORD = re.compile(r"[A-Za-z0-9_]+(?:(?:[-'*~`]+|-[ \t]*\r?\n[ \t]*)[A-Za-z0-9_]+)*")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
 def normal(word: str) -> str:
@@ -56,22 +60,29 @@ class Words:
         self.known: dict[str, str] = {}
         self.most = most
 
-    def __call__(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    def _find(self, text: str):
         if "<" in text or "&" in text or "](" in text:
-            text = _INLINE.sub(lambda m: "⁠" * len(m[0]), text)
+            text = _INLINE.sub(lambda m: "\u2060" * len(m[0]), text)
             text = _TAG.sub(lambda m: " " * len(m[0]), text)
-        words, places, known = [], [], self.known
-        for m in _WORD.finditer(text):
-            raw = m[0]
+        return text, _ASCII_WORD if text.isascii() else _WORD
+
+    def __call__(self, text: str) -> list[str]:
+        text, rx = self._find(text)
+        known, out = self.known, []
+        for raw in rx.findall(text):
             w = known.get(raw)
             if w is None:
                 if len(known) >= self.most:
                     known.clear()
                 w = known[raw] = normal(raw)
             if w:
-                words.append(w)
-                places.append(m.span())
-        return words, places
+                out.append(w)
+        return out
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Where the words of a call with the same text stand."""
+        text, rx = self._find(text)
+        return [m.span() for m in rx.finditer(text) if (self.known.get(m[0]) or normal(m[0]))]
 
 
 @dataclass
@@ -84,10 +95,16 @@ class Passage:
 
 def standing_sentences(texts: list[str], words: Words) -> set[tuple[str, ...]]:
     """Sentences, in normal form, that more than one passage holds."""
-    seen = Counter(s for t in texts for s in {tuple(words(x)[0]) for x in _SENTENCE.split(t)})
+    seen = Counter(s for t in texts if t for s in {tuple(words(x)) for x in _SENTENCE.split(t)})
     return {s for s, n in seen.items() if n > 1}
 
 
+def named(sentence: str) -> set[str]:
+    """Names and numbers of a sentence in normal form: words with a digit or a capital; the first word only with a hyphen."""
+    raw = _WORD.findall(sentence)
+    return {normal(w) for k, w in enumerate(raw) if any(c.isdigit() for c in w) or (w[0].isupper() and (k or "-" in w))}
+
+
 class Index:
     """Passages of one block, ready for the scan."""
 
@@ -95,20 +112,23 @@ class Index:
         words = Words()
         shared = standing_sentences([t for _, t in items], words) if standing is None else standing
         self.passages: dict[int, Passage] = {}
+        names: set[str] = set()
         for i, text in items:
             own, ends = [], set()
             for sentence in _SENTENCE.split(text or ""):
-                ws = words(sentence)[0]
+                ws = words(sentence)
                 if tuple(ws) not in shared:
                     own += ws
                     ends.add(len(own) - 1)
+                    names |= named(sentence)
             if len(own) >= LEAST:
                 self.passages[i] = Passage(own, ends)
         held = Counter(w for p in self.passages.values() for w in set(p.words))
         most = max(3, int(RARE * len(self.passages)))
         self.by_word: dict[str, list[int]] = defaultdict(list)
         for i, p in self.passages.items():
-            p.rare = {w for w in p.words if held[w] <= most}
+            few = {w for w in p.words if held[w] <= most}
+            p.rare = few & names if len(few & names) > 1 else few
             p.pairs = set(zip(p.words, p.words[1:]))
             for w in p.rare:
                 self.by_word[w].append(i)
@@ -168,25 +188,27 @@ class Hit:
 
 def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
     """Every passage with a hit in the text: its longest one."""
-    ws, places = words(text)
+    ws, places = words(text), None
     by_word, found = index.by_word, defaultdict(list)
     for k, w in enumerate(ws):
-        for i in by_word.get(w, ()):
-            found[i].append(k)
+        if w in by_word:
+            for i in by_word[w]:
+                found[i].append(k)
     hits = []
     for i, at in found.items():
         p = index.passages[i]
         n, best = len(p.words), None
         # windows: rare words that lie no further apart than the passage and a few foreign sentences
-        runs, begun = [], at[0]
-        for a, b in zip(at, at[1:]):
-            if b - a > n + 60:
-                runs.append((begun, a))
-                begun = b
-        runs.append((begun, at[-1]))
-        for a, b in runs:
-            lo, hi = max(0, a - n - 8), min(len(ws), b + n + 8)
-            if len(p.pairs.intersection(zip(ws[lo:hi], ws[lo + 1 : hi]))) < PAIRS:
+        runs = [[at[0]]]
+        for k in at[1:]:
+            if k - runs[-1][-1] > n + 60:
+                runs.append([k])
+            else:
+                runs[-1].append(k)
+        for run in runs:
+            lo, hi = max(0, run[0] - n - 8), min(len(ws), run[-1] + n + 8)
+            # twelve agreeing words, at most one of them rare, still hold this many pairs
+            if len(p.pairs.intersection(zip(ws[lo:hi], ws[lo + 1 : hi]))) < (PAIRS if len(run) > 1 else LEAST // 2):
                 continue
             _, agree = align(p, ws[lo:hi])
             if not agree:
@@ -194,6 +216,8 @@ def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
             first, last = agree[0][0], agree[-1][0]
             rare = [k for k in range(first, last + 1) if p.words[k] in p.rare]
             ok = {k for k, _ in agree}
+            if places is None:
+                places = words.places(text)
             h = Hit(i, places[lo + agree[0][1]][0], places[lo + agree[-1][1]][1], last - first + 1, len(agree), len(rare), sum(k in ok for k in rare))
             if h.counts() and (best is None or h.agree > best.agree):
                 best = h

@@ -9,11 +9,13 @@ most of its target. The rounds are Spark jobs; only the last ``bins`` weights re
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.index import dense_index
 from ..session import Scratch
 from .components import connected_components
-from .ranking import numbered
 
 #: Genes are numbered from here in the graph of variants and genes, so that a family's lowest vertex is a variant.
 GENES = 1 << 62
@@ -40,8 +42,10 @@ def balanced_bins(scratch: Scratch, weights: DataFrame, bins: int = BINS) -> tup
     level = scratch.stage(weights.select("unit", "weight"))
     n, hops = level.count(), []
     while n > bins:
-        ranked = scratch.stage(numbered(scratch, level, [F.col("weight").desc(), F.col("unit").asc()]))
-        paired = ranked.withColumn("mate", F.least(F.col("n"), F.lit(n - 1) - F.col("n")))
+        ranked = scratch.stage(dense_index(level, [F.col("weight").desc(), F.col("unit").asc()], "n", scratch))
+        # of an odd number the heaviest stays alone: ranks 1..n-1 are paired from both ends, rank 0 with itself
+        odd = n % 2
+        paired = ranked.withColumn("mate", F.when(F.col("n") < odd, F.lit(-1)).otherwise(F.least(F.col("n"), F.lit(n - 1 + odd) - F.col("n"))))
         merged = paired.groupBy("mate").agg(F.min("unit").alias("bin"), F.sum("weight").alias("weight"))
         hops.append(scratch.stage(paired.join(merged.select("mate", "bin"), "mate").select("unit", "bin")))
         level = scratch.stage(merged.select(F.col("bin").alias("unit"), "weight"))
@@ -67,7 +71,7 @@ def deal(bins: list[tuple[int, int]], shares: dict[str, float]) -> dict[int, str
 
 
 def assign_splits(members: DataFrame, group: str, shares: dict[str, float], bins: int = BINS) -> DataFrame:
-    """``members`` with a column ``split``, the same for all rows of a group.
+    """``members`` with a column ``split`` (in place of one that is there), the same for all rows of a group.
 
     Null groups have no relatives and give no row; repeated rows weigh what they count; an empty
     input gives an empty result. The split sizes follow ``shares`` as nearly as whole groups allow.
@@ -81,8 +85,9 @@ def assign_splits(members: DataFrame, group: str, shares: dict[str, float], bins
     name: Column = F.lit(None).cast("string")
     if dealt:
         table = spark.createDataFrame(list(dealt.items()), "bin long, split string")
-        where = where.join(F.broadcast(table), "bin").select(F.col("unit").alias("_unit"), F.col("split").alias("_split"))
-        return members.join(where, g == F.col("_unit")).withColumn("split", F.col("_split")).drop("_unit", "_split")
+        unit, split = (f"_{uuid.uuid4().hex}" for _ in "ab")  # no name of the members' columns
+        where = where.join(F.broadcast(table), "bin").select(F.col("unit").alias(unit), F.col("split").alias(split))
+        return members.join(where, g == F.col(unit)).withColumn("split", F.col(split)).drop(unit, split)
     return members.where(g.isNotNull()).withColumn("split", name)
 
 
