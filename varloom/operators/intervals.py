@@ -19,17 +19,8 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def periods_and_gaps(
-    df: DataFrame, entity: list[str | Column], start: str | Column, end: str | Column, names: list[str], tile: int = TILE
-) -> DataFrame:
-    """``names..., kind ('period' or 'gap'), from_pos, to_pos`` of each entity's half-open intervals.
-
-    Intervals that overlap, nest or touch (end = start) are one period; a gap reaches from a
-    period's end to the next one's start in the same entity. Rows with a null bound or
-    ``start >= end`` carry no position and are left out; null entity values form an entity of their
-    own. Repeated rows count once. An empty input gives an empty result. Only the named columns are
-    read, so other columns may have any name.
-    """
+def _rows(df: DataFrame, entity: list[str | Column], start: str | Column, end: str | Column, tile: int) -> DataFrame:
+    """``k, r``: the entity as a struct, and a struct of kind and bounds."""
     # a struct key: null entity values are equal to each other in groups, windows and joins
     base = (
         df.select(F.struct(*[_col(e).alias(f"e{i}") for i, e in enumerate(entity)]).alias("k"), _col(start).cast("long").alias("s"), _col(end).cast("long").alias("e"))
@@ -71,16 +62,28 @@ def periods_and_gaps(
         F.struct(F.lit("period").alias("kind"), F.col("label").alias("a"), F.col("e").alias("b")),
         F.struct(F.lit("gap").alias("kind"), F.col("gap_from").alias("a"), F.col("label").alias("b")),
     )
-    return (
-        x.select("k", F.explode(rows).alias("r"))
-        .where("r.a is not null")
-        .select(*[F.col(f"k.e{i}").alias(n) for i, n in enumerate(names)], F.col("r.kind").alias("kind"), F.col("r.a").alias("from_pos"), F.col("r.b").alias("to_pos"))
-    )
+    return x.select("k", F.explode(rows).alias("r")).where("r.a is not null")
+
+
+def periods_and_gaps(
+    df: DataFrame, entity: list[str | Column], start: str | Column, end: str | Column, names: list[str], tile: int = TILE
+) -> DataFrame:
+    """``names..., kind ('period' or 'gap'), from_pos, to_pos`` of each entity's half-open intervals.
+
+    Intervals that overlap, nest or touch (end = start) are one period; a gap reaches from a
+    period's end to the next one's start in the same entity. Rows with a null bound or
+    ``start >= end`` carry no position and are left out; null entity values form an entity of their
+    own. Repeated rows count once. An empty input gives an empty result. Only the named columns are
+    read, so other columns may have any name.
+    """
+    keys = [F.col(f"k.e{i}").alias(n) for i, n in enumerate(names)]
+    return _rows(df, entity, start, end, tile).select(*keys, F.col("r.kind").alias("kind"), F.col("r.a").alias("from_pos"), F.col("r.b").alias("to_pos"))
 
 
 def merge_periods(df: DataFrame, entity: list[str | Column], start: str | Column, end: str | Column, names: list[str], tile: int = TILE) -> DataFrame:
-    """Only the periods of ``periods_and_gaps``."""
-    return periods_and_gaps(df, entity, start, end, names, tile).where("kind = 'period'").drop("kind")
+    """Only the periods: ``names..., from_pos, to_pos``."""
+    keys = [F.col(f"k.e{i}").alias(n) for i, n in enumerate(names)]
+    return _rows(df, entity, start, end, tile).where("r.kind = 'period'").select(*keys, F.col("r.a").alias("from_pos"), F.col("r.b").alias("to_pos"))
 
 
 def autosome(c: str | Column) -> Column:

@@ -37,9 +37,10 @@ _INNER = re.compile(r'(?:[^"]|"")*')
 class Fault(Exception):
     """A syntax or value error at an offset of the text."""
 
-    def __init__(self, reason: str, at: int, detail: str):
+    def __init__(self, reason: str, at: int, detail: str, resume: int | None = None):
         super().__init__(detail)
         self.reason, self.at, self.detail = reason, at, detail
+        self.resume = at if resume is None else resume  # where the search for the next record begins
 
 
 def _chrom(s: str) -> int:
@@ -113,7 +114,7 @@ class Reader:
             raise Fault("quoting", begin, "a quote is not closed")
         i += 1
         if not (self._at_end(i) or self.text[i] == "\t"):
-            raise Fault("quoting", i, "text after a closing quote")
+            raise Fault("quoting", i, "text after a closing quote", begin)
         self.pos = i
         return m[0].replace('""', '"')
 
@@ -184,7 +185,7 @@ class Reader:
             except Fault as f:
                 yield Parsed(line, {}, f, f.at - self.text.rfind("\n", 0, f.at) if not self.whole else f.at + 1)
                 if f.reason == "quoting":
-                    self.pos = self.anchor(f.at) if not self.whole else self.n
+                    self.pos = self.anchor(f.resume) if not self.whole else self.n
                     continue
             if not self._at_end(self.pos) or self.whole:  # rest of a line that failed for another reason
                 nl = self.text.find("\n", self.pos)
