@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import atexit
 import os
+import pickle
 import shutil
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -89,3 +94,26 @@ def spread(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores * per_core, key)
+
+
+#: Objects that a worker process keeps from task to task.
+KEPT = 6
+
+
+def kept(key: str, make: Callable):
+    """``make()``, once in a worker process; the oldest of more than ``KEPT`` objects is dropped."""
+    home = sys.modules.setdefault("_varloom_kept", types.ModuleType("_varloom_kept")).__dict__.setdefault("objects", {})
+    if key not in home:
+        while len(home) >= KEPT:
+            home.pop(next(iter(home)))
+        home[key] = make()
+    return home[key]
+
+
+def ship(spark: SparkSession, value) -> Callable:
+    """A broadcast of any object, with the classes it needs, as a function to call in tasks.
+
+    A plain broadcast names an object's class, which only workers with this package could load.
+    """
+    data, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: kept(key, lambda: pickle.loads(data.value))
