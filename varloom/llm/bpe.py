@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import base64
 import re
-import sys
-import types
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import spread
+from ..session import kept, spread
 
 #: Fixed value: the pattern that cuts a text into the units within which bytes are merged.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -237,14 +235,6 @@ def decode(ids: Iterable[int], bytes_of: dict[int, bytes]) -> str:
     return "".join([machine.feed(bytes_of.get(i, b"")) for i in ids]) + machine.close()
 
 
-def _kept(name: str, make):
-    """An object that a worker process keeps from task to task."""
-    home = sys.modules.setdefault("_varloom_kept", types.ModuleType("_varloom_kept"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
-
-
 def encode_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``doc_id, ids array<int>``: every text by a byte-level vocabulary, without special tokens.
 
@@ -257,7 +247,7 @@ def encode_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _kept(f"bpe_{vocabulary}", lambda: Encoder(ranks.value))
+        enc = kept(f"bpe {folder}/{vocabulary}", lambda: Encoder(ranks.value))
         for b in batches:
             ids, offsets = array("i"), array("i", [0])
             for t in b.column(1):
@@ -277,7 +267,7 @@ def decode_ids(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabula
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _kept(f"bytes_{vocabulary}", lambda: {i: t for t, i in ranks.value.items()})
+        bytes_of = kept(f"bytes {folder}/{vocabulary}", lambda: {i: t for t, i in ranks.value.items()})
         for b in batches:
             texts = [decode(x.as_py() or (), bytes_of) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -28,7 +28,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import spread
+from ..session import ship, spread
 
 #: Slots of the filter, slots per n-gram, orders of the n-grams, extra weight of a whole word.
 SLOTS, HASHES, ORDERS, WHOLE = 1 << 20, 3, (2, 3, 4, 5), 3
@@ -212,13 +212,13 @@ def fit_filters(docs: DataFrame, samples: list[tuple[str, str]], most: int = MOS
     first = Filters(samples)
     if not first.langs:
         return first
-    shared = spark.sparkContext.broadcast(first)
+    shared = ship(spark, first)
     named = sorted(n for n, code in _CODE.items() if code in first.langs)
     base = F.split(F.lower(F.trim("label")), r"[-_\s(]")[0]
     some = docs.where(base.isin(named)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detect = Detector(shared.value)
+        detect = Detector(shared())
         for b in batches:
             rows = []
             for t, given in zip(b["text"], b["label"]):
@@ -253,11 +253,11 @@ def language_segments(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id
     lab = F.col(label) if isinstance(label, str) else label
     texts = docs.where(F.length(text) > 0).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), lab.cast("string").alias("label"))
     rows = samples.select(F.col(sample_lang), F.col(sentence)).where(F.col(sample_lang).isNotNull() & F.col(sentence).isNotNull()).limit(most).collect()
-    filters = spark.sparkContext.broadcast(fit_filters(texts, [(r[0], r[1]) for r in rows], most_docs))
+    filters = ship(spark, fit_filters(texts, [(r[0], r[1]) for r in rows], most_docs))
     src = spread(texts, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detect = Detector(filters.value)
+        detect = Detector(filters())
         for b in batches:
             got = []
             for d, t, given in zip(b["doc_id"], b["text"], b["label"]):

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import spread
+from ..session import ship, spread
 
 #: Least words of a passage in a hit.
 LEAST = 12
@@ -253,12 +253,12 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     src = spread(docs.where(F.length(text) > 0).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id")
     out = None
     for block in _blocks(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage"))):
-        index = spark.sparkContext.broadcast(Index(block))
+        index = ship(spark, Index(block))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            words = Words()
+            words, found = Words(), index()
             for b in batches:
-                rows = [(d, h.item, h.begin, h.end, h.span, h.agree, h.rare, h.rare_agree) for d, t in zip(b["doc_id"], b["text"]) for h in find_leaks(t, index.value, words)]
+                rows = [(d, h.item, h.begin, h.end, h.span, h.agree, h.rare, h.rare_agree) for d, t in zip(b["doc_id"], b["text"]) for h in find_leaks(t, found, words)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
         part = src.mapInPandas(run, OUT)
