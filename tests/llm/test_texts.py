@@ -149,6 +149,7 @@ def test_languages():
     assert [s.lang for s in d(en)] == ["en"] and [s.lang for s in d(de.upper().replace("Ü", "U"))] == ["de"]
     assert [s.lang for s in d(f"{en} {de}\n\n{ru}\n- {en}")] == ["en", "de", "ru", "en"]
     assert [s.lang for s in d(f"chr1\t5\t6\n\n{en} (vorläufige Fassung) rs123 ACGTACGTACGTACGTACGT 5.5. {en}")] == ["en"]
+    assert [s.lang for s in d(f"{en} rs12\t5\t0.3 {de} \t\t\t \t77")] == ["en", "de"]
     assert all(0.5 < s.confidence <= 1 for s in d(f"{en} {ru}"))
     for none in (None, "", "  \n ", "chr1\t5\nrs12 3.4", "Zu kurz.", "no mark at the end of these words"):
         assert d(none) == []

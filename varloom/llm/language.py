@@ -9,9 +9,9 @@ n-grams) gives the stretches. What is no full sentence (identifiers, numbers, ta
 phrases) has no say and belongs to what surrounds it.
 
 The filter is fitted twice: on the labelled sentences, then also on the words of a bounded number of
-documents that the first fit finds to be in the one language their label names. A word goes to a
+documents that the first fit finds to be mostly in the language their label names. A word goes to a
 language only if its documents hold it about as often as any other language's do, which keeps out
-the odd foreign phrase.
+foreign sentences and phrases.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ CHANGE, FULL = 12.0, 4
 MOST_SAMPLES, MOST_DOCS = 100_000, 4_000
 #: A word is a language's if this share of the highest rate among the languages is reached, in at least so many documents.
 RATE, LEAST_DOCS = 0.05, 2
+#: Share of a document's sentences that the first fit must find to be in the label's language; the rest may be its errors.
+MOSTLY = 0.75
 
 #: Codes and names of the languages, without accents and in lower case.
 NAMES = {
@@ -54,7 +56,6 @@ _CODE = {n: code for code, names in NAMES.items() for n in names.split()}
 
 _LETTERS = regex.compile(r"\b[\p{L}\p{M}]{2,}+\b")
 _ASCII_LETTERS = re.compile(r"\b[A-Za-z]{2,}\b", re.ASCII)
-_TABLE_LINE = re.compile(r"^[^\n]*\t[^\n]*$", re.M)
 # a sentence ends at a mark, maybe with closing signs, that blank space follows; blank lines and list marks end one as well
 _MARK = r"""[.?!\u2026][)\]}"'\u00bb\u201d\u2019\u203a*_]{0,3}"""
 _CUT = re.compile(rf"({_MARK})\s+|\n[ \t\r]*\n\s*|\n(?=[ \t]*[-*\u2022] )")
@@ -129,11 +130,10 @@ class Unit:
 
 def units(text: str) -> list[Unit]:
     """Sentences and what stands between them, in reading order."""
-    masked = _TABLE_LINE.sub(lambda m: " " * len(m[0]), text) if "\t" in text else text
     out, at = [], 0
-    ends = [(m.end(1) if m[1] else m.start(), m.end()) for m in _CUT.finditer(masked)] + [(len(masked), len(masked))]
+    ends = [(m.end(1) if m[1] else m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]
     for stop, nxt in ends:
-        part = masked[at:stop]
+        part = text[at:stop]
         words = language_words(part)
         if words:
             out.append(Unit(at, stop, len(words) >= FULL and bool(_ENDED.search(part)), words))
@@ -222,9 +222,9 @@ def fit_filters(docs: DataFrame, samples: list[tuple[str, str]], most: int = MOS
         for b in batches:
             rows = []
             for t, given in zip(b["text"], b["label"]):
-                got = detect(t)
-                if len(got) == 1 and got[0].lang == label_code(given):
-                    rows += [(got[0].lang, w) for w in {plain(w) for u in units(t) if u.full for w in u.words} | {""}]
+                got, code = detect(t), label_code(given)
+                if got and sum(x.sentences for x in got if x.lang == code) >= MOSTLY * sum(x.sentences for x in got):
+                    rows += [(code, w) for w in {plain(w) for u in units(t) if u.full for w in u.words} | {""}]
             yield pd.DataFrame(rows, columns=["lang", "word"])
 
     counts = some.mapInPandas(run, "lang string, word string").groupBy("lang", "word").count().where(F.col("count") >= LEAST_DOCS).collect()
