@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from varloom.operators.intervals import autosome, merge_periods, periods_and_gaps
+from varloom.operators.intervals import autosome, merge_periods, periods_and_gaps, running_max
 
 
 def brute(rows):
@@ -52,3 +52,15 @@ def test_autosome(spark):
     names = ["1", "chr22", "CHR9", "chr0", "chr01", "X", "23", " 1", None, ""]
     got = spark.createDataFrame([(n,) for n in names], "c string").select(autosome(F.col("c"))).collect()
     assert [r[0] for r in got] == [1, 22, 9, None, None, None, None, None, None, None]
+
+
+def test_running_max(spark):
+    rng = random.Random(8)
+    rows = sorted({(rng.choice([1, 2]), s := rng.randint(-20, 200), s + rng.randint(0, 60)) for _ in range(200)})
+    df = spark.createDataFrame(rows, "c int, s long, e long")
+    want, far = {}, {}
+    for c, s, e in rows:
+        far[c] = max(far.get(c, -99), e)
+        want[c, s, e] = far[c]
+    for tile in (1, 16, 1 << 20):
+        assert {(r.c, r.s, r.e): r.reach for r in running_max(df, ["c"], "s", "e", "reach", tile).collect()} == want

@@ -69,5 +69,5 @@ def test_coefficient_tables(spark, tmp_path):
 def test_enrichment(spark):
     r = spark.range(1000).select(F.lit("s").alias("g"), F.col("id").cast("string").alias("ensembl"), (F.col("id") + 1).alias("rank"))
     sets = r.where("rank <= 20").select(F.lit("top").alias("set_name"), "ensembl").union(r.where("rank % 50 = 0").select(F.lit("even"), "ensembl"))
-    out = pp.enrich(r, sets, ["g"], top=100).collect()
+    out = pp.enrich(r, r.where("rank <= 100"), sets, ["g"]).collect()
     assert [(x.set_name, x.hits, x.n_set, x.n_top) for x in out] == [("top", 20, 20, 100)] and out[0].p < 1e-15

@@ -86,6 +86,15 @@ def merge_periods(df: DataFrame, entity: list[str | Column], start: str | Column
     return _rows(df, entity, start, end, tile).where("r.kind = 'period'").select(*keys, F.col("r.a").alias("from_pos"), F.col("r.b").alias("to_pos"))
 
 
+def running_max(df: DataFrame, entity: list[str], start: str, end: str, out: str, tile: int = TILE) -> DataFrame:
+    """``df`` with the furthest end so far in the order of start, then end: per tile, with what earlier tiles hand over."""
+    x = df.withColumn("_tile", F.floor(F.col(start) / F.lit(tile)).cast("long"))
+    earlier = W.partitionBy(*entity).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
+    hand = x.groupBy(*entity, "_tile").agg(F.max(end).alias("_far")).withColumn("_far", F.max("_far").over(earlier))
+    upto = W.partitionBy(*entity, "_tile").orderBy(start, end).rowsBetween(W.unboundedPreceding, 0)
+    return x.join(hand, [*entity, "_tile"]).withColumn(out, F.greatest("_far", F.max(end).over(upto))).drop("_tile", "_far")
+
+
 def autosome(c: str | Column) -> Column:
     """1..22 from a chromosome with or without ``chr`` in any case, else null (no blanks, no leading zeros)."""
     return F.regexp_extract(_col(c), r"^(?:[cC][hH][rR])?([1-9]|1[0-9]|2[0-2])$", 1).try_cast("int")

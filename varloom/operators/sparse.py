@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import antijoin_identity
-
 
 def clean_triples(df: DataFrame) -> DataFrame:
     """``variant_idx, gene_idx, mechanism_idx, value``: the largest finite value >= 0 of each key; rows without a gene are left out."""
@@ -22,11 +20,12 @@ def ld_pairs(df: DataFrame, cut: float = 0.01) -> DataFrame:
 
 
 def symmetric(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``row_idx, col_idx, r2``: both directions of every pair and a unit diagonal for all of ``ids`` (one column)."""
+    """``row_idx, col_idx, r2``: both directions of every pair (a < b) and a unit diagonal for all of ``ids`` (one column, distinct)."""
     one = F.struct(F.col("a").alias("row_idx"), F.col("b").alias("col_idx"))
     two = F.struct(F.col("b").alias("row_idx"), F.col("a").alias("col_idx"))
     both = pairs.select(F.explode(F.array(one, two)).alias("e"), "r2").select("e.row_idx", "e.col_idx", "r2")
-    return antijoin_identity(both, ids)
+    i = F.col(ids.columns[0])
+    return both.unionByName(ids.select(i.alias("row_idx"), i.alias("col_idx"), F.lit(1.0).alias("r2")))
 
 
 def squared(df: DataFrame, r: str, cut: float, n: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
 from ..operators.index import dense_index
+from ..operators.intervals import running_max
 from ..operators.joins import align_global, align_row, band_join, first_per, left_fill, range_join, unique_keys
 from ..session import table
 from . import lens
@@ -59,8 +60,8 @@ def peak_membership_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_running_max(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("chrom").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)
-    return lens.peaks(spark, d).select("chrom", "start", "end").distinct().withColumn("reach", F.max("end").over(w)).select("chrom", F.col("start").alias("from_pos"), F.col("end").alias("to_pos"), "reach")
+    x = running_max(lens.peaks(spark, d).select("chrom", "start", "end").distinct(), ["chrom"], "start", "end", "reach")
+    return x.select("chrom", F.col("start").alias("from_pos"), F.col("end").alias("to_pos"), "reach")
 
 
 def peak_context_pivot(spark: SparkSession, d: str) -> DataFrame:

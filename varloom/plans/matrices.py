@@ -79,17 +79,25 @@ def cumulative_share_cut(spark: SparkSession, d: str) -> DataFrame:
     return x.where(F.round(F.col("run") - F.col("score"), 6) < F.round(0.5 * F.col("whole"), 6)).select("source", "ensembl", F.row_number().over(w).alias("rank"))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """``source, analysis, ensembl, score``: each gene's highest finite score in a ranking."""
     s = F.col("score")
     r = table(spark, d, "rankings").where(F.col("ensembl").isNotNull() & (F.abs(s) < float("inf")) & ~F.isnan(s))
-    g = r.groupBy("source", "analysis", S.strip_version("ensembl").alias("ensembl")).agg(F.max("score").alias("score"))
-    return g.withColumn("rank", F.row_number().over(W.partitionBy("source", "analysis").orderBy(F.col("score").desc(), "ensembl")))
+    return r.groupBy("source", "analysis", S.strip_version("ensembl").alias("ensembl")).agg(F.max("score").alias("score"))
+
+
+def first_ranks(genes: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of each ranking; map tasks cut their rows to ``n`` a group before the shuffle."""
+    w = W.partitionBy("source", "analysis").orderBy(F.col("score").desc(), "ensembl")
+    return genes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def target_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
     """Targets (genes with a name divisible by 7) among each ranking's first 100, with the hypergeometric tail."""
-    r = _ranked(spark, d).withColumn("target", (F.substring("ensembl", -6, 6).try_cast("long") % 7 == 0).cast("int"))
-    g = r.groupBy("source", "analysis").agg(F.count(F.lit(1)).alias("n_genes"), F.sum("target").alias("n_targets"), F.sum(F.when(F.col("rank") <= 100, F.col("target")).otherwise(0)).alias("hits"), F.count_if(F.col("rank") <= 100).alias("n_top"))
+    r = scored(spark, d).withColumn("target", (F.substring("ensembl", -6, 6).try_cast("long") % 7 == 0).cast("int"))
+    g = r.groupBy("source", "analysis").agg(F.count(F.lit(1)).alias("n_genes"), F.sum("target").alias("n_targets"))
+    top = first_ranks(r, 100).groupBy("source", "analysis").agg(F.sum("target").alias("hits"), F.count(F.lit(1)).alias("n_top"))
+    g = g.join(top, ["source", "analysis"])
     expected = F.col("n_top") * F.col("n_targets") / F.col("n_genes")
     p = S.hypergeom_p(F.col("hits"), F.col("n_genes"), F.col("n_targets"), F.col("n_top"))
     return g.select("source", "analysis", "n_genes", "n_targets", "n_top", "hits", F.round(expected, 6).alias("expected"), F.round(F.try_divide(F.col("hits").cast("double"), expected), 6).alias("fold"), F.round(p, 6).alias("p"))
@@ -97,13 +105,13 @@ def target_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def simulation_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Size, mean and sample deviation of each ranking's scores, in long form."""
-    g = _ranked(spark, d).groupBy("source", "analysis").agg(F.count("score").cast("double").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
+    g = scored(spark, d).groupBy("source", "analysis").agg(F.count("score").cast("double").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
     return g.unpivot(["source", "analysis"], ["n", "mean", "sd"], "stat", "x").select("source", "analysis", "stat", (F.round("x", 6) + 0.0).alias("x"))
 
 
 def run_report(spark: SparkSession, d: str) -> DataFrame:
     """Per source the leading context by score, its share, and whether it is the expected one."""
-    g = _ranked(spark, d).where("analysis != 'global'").groupBy("source", "analysis").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("total"))
+    g = scored(spark, d).where("analysis != 'global'").groupBy("source", "analysis").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("total"))
     g = g.withColumn("total", F.round("total", 6))
     x = g.groupBy("source").agg(F.max_by("analysis", F.struct("total", "analysis")).alias("leading_context"), F.max("total").alias("lead"), F.sum("total").alias("whole"))
     return x.select("source", "leading_context", F.round(F.when(F.col("whole") > 0, F.col("lead") / F.col("whole")), 6).alias("leading_fraction"), (F.col("leading_context") == "microglia").alias("expected_leads"))

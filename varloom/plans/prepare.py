@@ -76,15 +76,17 @@ def read_context_effects(spark: SparkSession, path: str, contexts: list[str]) ->
     return out
 
 
-def enrich(ranked: DataFrame, sets: DataFrame, groups: list[str], top: int = 100, alpha: float = 0.05) -> DataFrame:
-    """Over-representation of gene sets (``set_name, ensembl``) among the first ``top`` of each ranking.
+def enrich(ranked: DataFrame, first: DataFrame, sets: DataFrame, groups: list[str], alpha: float = 0.05) -> DataFrame:
+    """Over-representation of gene sets (``set_name, ensembl``) among the ``first`` genes of each ranking.
 
     ``groups..., set_name, n_genes, n_set, n_top, hits, p`` of the sets with a hit and p below ``alpha``;
     the population is the ranking itself.
     """
-    size = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_genes"), F.count_if(F.col("rank") <= top).alias("n_top"))
-    hit = ranked.join(sets.distinct(), "ensembl").groupBy(*groups, "set_name").agg(F.count(F.lit(1)).alias("n_set"), F.count_if(F.col("rank") <= top).alias("hits"))
-    x = hit.where("hits > 0").join(size, groups)
+    s = sets.distinct()
+    size = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_genes")).join(first.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_top")), groups)
+    n_set = ranked.join(s, "ensembl").groupBy(*groups, "set_name").agg(F.count(F.lit(1)).alias("n_set"))
+    hits = first.join(s, "ensembl").groupBy(*groups, "set_name").agg(F.count(F.lit(1)).alias("hits"))
+    x = hits.join(n_set, [*groups, "set_name"]).join(size, groups)
     x = x.withColumn("p", S.hypergeom_p(F.col("hits"), F.col("n_genes"), F.col("n_set"), F.col("n_top")))
     return x.where(F.col("p") < alpha).select(*groups, "set_name", "n_genes", "n_set", "n_top", "hits", "p")
 
@@ -149,11 +151,11 @@ def normalized_context_mass(spark: SparkSession, d: str) -> DataFrame:
 
 def set_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Gene sets by the identifier's remainder of 40, over the first 100 of each ranking."""
-    from .matrices import _ranked
+    from .matrices import first_ranks, scored
 
-    r = _ranked(spark, d)
+    r = scored(spark, d)
     sets = r.select((F.substring("ensembl", -6, 6).try_cast("long") % 40).cast("string").alias("set_name"), "ensembl").distinct()
-    e = enrich(r, sets, ["source", "analysis"])
+    e = enrich(r, first_ranks(r, 100), sets, ["source", "analysis"])
     return e.withColumn("p", F.round("p", 6))
 
 
