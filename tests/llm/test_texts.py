@@ -116,6 +116,8 @@ def test_leaks_found_and_refused():
     assert hits("All notes end with this standing line. And nothing else of it.") == set()
     assert hits("When ranks at Oltba fell below 3201, each coarse batch was stored twice under Kelnav terms. Which markers would retain the dense blocks reported for Tavpri after 99 distal rounds?") == set()
     assert hits("") == set()
+    # many windows over one long run of a rare word, the passage at its end
+    assert hits("so Jasulktype " * 1500 + P2) == {2} and hits("Jasulktype " * 4000) == set()
     far = "word " * 3000
     assert hits(far + P2 + far) == {2}
 

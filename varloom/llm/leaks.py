@@ -35,6 +35,8 @@ PAIRS, JUMP = 4, 3
 #: A name or number is rare if at most this share of the passages (but three at least) hold it; share of them that must agree.
 #: A passage with fewer than two of them takes all its words that few passages hold.
 RARE, AGREE = 0.025, 1 / 2
+#: Most words of a window, in lengths of the passage: bounds the table of one alignment for texts of any length.
+WINDOW = 20
 #: Most passages of one block, and most characters of them (the broadcast is some tens of times that).
 BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 
@@ -203,6 +205,9 @@ def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
         for k in at[1:]:
             if k - runs[-1][-1] > n + 60:
                 runs.append([k])
+            elif k - runs[-1][0] > WINDOW * n:
+                # a long run goes on in a window of its own, which overlaps the one before by more than the passage
+                runs.append([x for x in runs[-1] if x > k - 3 * n] + [k])
             else:
                 runs[-1].append(k)
         for run in runs:
