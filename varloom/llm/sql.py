@@ -9,7 +9,25 @@ w AS (SELECT s.*, least(n, (n * keep_permille + 999) // 1000) AS k FROM s JOIN k
 c AS (SELECT source, n, k, score AS cutoff FROM w WHERE nr = k)
 """
 
+# smallest label that reaches each vertex; the keyed recursion keeps one row per vertex
+_CC = """
+  cc(node, label) USING KEY (node) AS (
+    SELECT DISTINCT a, a FROM s
+    UNION
+    SELECT s.b, min(cc.label) FROM cc JOIN s ON cc.node = s.a JOIN recurring.cc AS old ON old.node = s.b WHERE cc.label < old.label GROUP BY s.b)"""
+
 ORACLES = {
+    "p2_found": f"""
+      WITH RECURSIVE t AS (SELECT DISTINCT variant_idx AS v, gene_idx + 4611686018427387904 AS g FROM annotation_triples WHERE variant_idx >= 0 AND gene_idx >= 0),
+      s AS (SELECT unnest([v, g]) AS a, unnest([g, v]) AS b FROM t), {_CC},
+      fam AS (SELECT label AS family_idx, node AS variant_idx FROM cc WHERE node < 4611686018427387904),
+      f AS (SELECT variant_idx, unnest([cv_groups, cv_score_groups]) AS fold FROM cv_folds),
+      bad AS (SELECT family_idx FROM fam JOIN f USING (variant_idx) WHERE fold <> -1 GROUP BY 1 HAVING min(fold) < max(fold))
+      SELECT family_idx, variant_idx FROM fam WHERE family_idx IN (SELECT family_idx FROM bad)""",
+    "p4_found": f"""
+      WITH RECURSIVE s AS (
+        SELECT DISTINCT unnest([row_idx, col_idx]) AS a, unnest([col_idx, row_idx]) AS b FROM ld_blocks WHERE isfinite(r2) AND r2 >= 0.01 AND r2 <= 1 AND row_idx <> col_idx), {_CC}
+      SELECT label AS group_idx, node AS variant_idx FROM cc""",
     "p1_found": """
       WITH g AS (
         SELECT source, analysis, split_part(ensembl, '.', 1) AS ensembl, max(score) AS score
