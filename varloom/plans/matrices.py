@@ -106,7 +106,7 @@ def target_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
 def simulation_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Size, mean and sample deviation of each ranking's scores, in long form."""
     g = scored(spark, d).groupBy("source", "analysis").agg(F.count("score").cast("double").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
-    return g.unpivot(["source", "analysis"], ["n", "mean", "sd"], "stat", "x").select("source", "analysis", "stat", (F.round("x", 6) + 0.0).alias("x"))
+    return g.unpivot(["source", "analysis"], ["n", "mean", "sd"], "stat", "x").select("source", "analysis", "stat", (F.round("x", 9) + 0.0).alias("x"))
 
 
 def run_report(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +323,7 @@ ORACLES = {
           - lgamma(n_genes + 1) + lgamma(n_top + 1) + lgamma(n_genes - n_top + 1)))) END, 6) AS p FROM g""",
     "simulation_aggregate": _RANKED
     + """, g AS (SELECT source, analysis, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS sd FROM k GROUP BY ALL)
-      SELECT source, analysis, 'n' AS stat, CAST(n AS DOUBLE) AS x FROM g UNION ALL SELECT source, analysis, 'mean', round(mean, 6) + 0.0 FROM g UNION ALL SELECT source, analysis, 'sd', round(sd, 6) FROM g""",
+      SELECT source, analysis, 'n' AS stat, CAST(n AS DOUBLE) AS x FROM g UNION ALL SELECT source, analysis, 'mean', round(mean, 9) + 0.0 FROM g UNION ALL SELECT source, analysis, 'sd', round(sd, 9) FROM g""",
     "run_report": _RANKED
     + """, g AS (SELECT source, analysis, round(sum(greatest(score, 0.0)), 6) AS total FROM k WHERE analysis <> 'global' GROUP BY ALL)
       SELECT source, max_by(analysis, row(total, analysis)) AS leading_context, round(CASE WHEN sum(total) > 0 THEN max(total) / sum(total) END, 6) AS leading_fraction,
