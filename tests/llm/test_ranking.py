@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -6,14 +7,15 @@ from pyspark.sql import functions as F
 
 from varloom.llm.components import connected_components, local_minima
 from varloom.llm.cutoff import cutoffs, keep_fraction
-from varloom.llm.splits import assign_splits, balanced_bins, broken_families, deal, families
+from varloom.llm.splits import assign_splits, balanced_bins, broken_families, deal, families, with_untied
 from varloom.llm.topn import top_n
-from varloom.llm import components, cutoff
+from varloom.llm import components, cutoff, queries
 from varloom.session import Scratch
 
 import numpy as np
 
 NAN, INF = float("nan"), float("inf")
+DATA = "/root/testdata/sf0.001"
 
 
 def test_top_n_matches_brute_force_under_skew_ties_and_repeats(spark):
@@ -94,6 +96,24 @@ def test_families_and_broken_folds(spark):
     assert broken_families(fam, f.limit(0)).count() == 0 and families(tri.limit(0)).count() == 0
 
 
+def test_untied_variants_and_genes_get_a_split(spark):
+    t = [(5, 1), (6, 1), (6, None), (10, None), (10, -1), (11, -1), (None, 3), (-1, 3), (None, 1), (None, None), (-1, -1)]
+    tri = spark.createDataFrame(t, "variant_idx long, gene_idx long")
+    fam = with_untied(families(tri), tri)
+    want = {(5, "variant", 5), (5, "variant", 6), (5, "gene", 1), (10, "variant", 10), (11, "variant", 11), ((1 << 62) + 3, "gene", 3)}
+    assert sorted(tuple(r) for r in fam.select("family_idx", "kind", "idx").collect()) == sorted(want)
+    out = assign_splits(fam, "family_idx", {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()
+    assert len(out) == 6 and all(r.split for r in out)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_every_variant_and_gene_of_the_table_is_in_p2_splits(spark):
+    out, t = queries.p2_splits(spark, DATA), spark.read.parquet(f"{DATA}/annotation_triples.parquet")
+    for kind in ("variant", "gene"):
+        want = {r[0] for r in t.where(f"{kind}_idx >= 0").select(f"{kind}_idx").distinct().collect()}
+        assert sorted(r.idx for r in out.where(f"kind = '{kind}'").collect()) == sorted(want)
+
+
 def test_balanced_bins_and_splits(spark):
     rng = random.Random(6)
     w = [(i, rng.randint(1, 50)) for i in range(1000)]

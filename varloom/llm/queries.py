@@ -11,7 +11,7 @@ from .components import connected_components
 from .cutoff import keep_fraction
 from .language import language_segments, wrong_labels
 from .leaks import leaked_spans, remove_spans
-from .splits import assign_splits, broken_families, families
+from .splits import assign_splits, broken_families, families, with_untied
 from .topn import top_n
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -27,8 +27,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Every tied variant and gene with its family and split."""
-    return assign_splits(families(table(spark, d, "annotation_triples")), "family_idx", SHARES)
+    """Every variant and gene with its family and split; one that no row ties to another is a family of its own."""
+    t = table(spark, d, "annotation_triples")
+    return assign_splits(with_untied(families(t), t), "family_idx", SHARES)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

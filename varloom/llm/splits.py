@@ -36,6 +36,17 @@ def families(triples: DataFrame, variant: str = "variant_idx", gene: str = "gene
     return c.select(F.col("group_idx").alias("family_idx"), F.when(is_gene, "gene").otherwise("variant").alias("kind"), F.when(is_gene, F.col("id") - GENES).otherwise(F.col("id")).alias("idx"))
 
 
+def with_untied(fam: DataFrame, triples: DataFrame, variant: str = "variant_idx", gene: str = "gene_idx") -> DataFrame:
+    """``fam`` and, as families of one, the variants and genes that no row ties to anything.
+
+    A variant alone is named by itself, a gene alone by its vertex, from 2^62 on.
+    """
+    v, g = F.col(variant).cast("long"), F.col(gene).cast("long")
+    has_v, has_g = F.coalesce(v >= 0, F.lit(False)), F.coalesce(g >= 0, F.lit(False))
+    lone = triples.where(has_v != has_g).select(F.when(has_v, v).otherwise(g + F.lit(GENES)).alias("family_idx"), F.when(has_v, "variant").otherwise("gene").alias("kind"), F.when(has_v, v).otherwise(g).alias("idx"))
+    return fam.unionByName(lone.distinct().join(fam, ["kind", "idx"], "left_anti"))
+
+
 def balanced_bins(scratch: Scratch, weights: DataFrame, bins: int = BINS) -> tuple[DataFrame, list[tuple[int, int]]]:
     """``unit -> bin`` for a table ``unit, weight``, and the bins' weights (at most ``bins`` of them)."""
     # a bin is named by the smallest unit in it; `hops` leads from a round's units to the next round's
