@@ -133,6 +133,17 @@ def test_leak_frames(spark, monkeypatch):
     assert leaked_spans(docs, items.limit(0)).count() == 0 and leaked_spans(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("between", [" short gap. ", " word" * 400 + ". "])
+def test_every_copy_and_piece_is_removed(spark, between):
+    piece = "Of 7828 traits merged by Guljasgul, the nested ones explain 91 per mille of Rudpriolt tables"
+    text = f"begin {P3}{between}{P3.upper()}{between}{piece} end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    s = leaked_spans(docs, spark.createDataFrame(ITEMS, "item_id long, passage string"))
+    assert [(r.doc_id, r.item_id) for r in s.collect()] == [(1, 3)] * 3
+    cleaned = remove_spans(docs, s).first().text
+    assert hits(cleaned) == set() and "guljasgul" not in cleaned.lower() and cleaned.startswith("begin") and cleaned.endswith("end")
+
+
 SAMPLES = {
     "en": ["The model drops every row without a gene because the table is old.", "We repeated the run and found the same order of all the values.", "Nobody has checked whether the sample was written before the merge."],
     "de": ["Das Modell verliert jede Zeile ohne Gen, weil die Tabelle alt ist.", "Wir haben die Rechnung wiederholt und dieselbe Reihenfolge der Werte erhalten.", "Bisher hat niemand geprüft, ob die Probe vorher geschrieben wurde."],

@@ -189,7 +189,7 @@ class Hit:
 
 
 def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
-    """Every passage with a hit in the text: its longest one."""
+    """Every hit of every passage in the text, in the order of the text for each passage."""
     ws, places = words(text), None
     by_word, found = index.by_word, defaultdict(list)
     for k, w in enumerate(ws):
@@ -199,7 +199,7 @@ def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
     hits = []
     for i, at in found.items():
         p = index.passages[i]
-        n, best = len(p.words), None
+        n, spans = len(p.words), {}
         # windows: rare words that lie no further apart than the passage and a few foreign sentences
         runs = [[at[0]]]
         for k in at[1:]:
@@ -212,22 +212,25 @@ def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
                 runs[-1].append(k)
         for run in runs:
             lo, hi = max(0, run[0] - n - 8), min(len(ws), run[-1] + n + 8)
+            # a stretch that was aligned is blanked and the rest aligned again, so that further copies and pieces are found
+            window, left = ws[lo:hi], list(run)
             # twelve agreeing words, at most one of them rare, still hold this many pairs
-            if len(p.pairs.intersection(zip(ws[lo:hi], ws[lo + 1 : hi]))) < (PAIRS if len(run) > 1 else LEAST // 2):
-                continue
-            _, agree = align(p, ws[lo:hi])
-            if not agree:
-                continue
-            first, last = agree[0][0], agree[-1][0]
-            rare = [k for k in range(first, last + 1) if p.words[k] in p.rare]
-            ok = {k for k, _ in agree}
-            if places is None:
-                places = words.places(text)
-            h = Hit(i, places[lo + agree[0][1]][0], places[lo + agree[-1][1]][1], last - first + 1, len(agree), len(rare), sum(k in ok for k in rare))
-            if h.counts() and (best is None or h.agree > best.agree):
-                best = h
-        if best:
-            hits.append(best)
+            while left and len(p.pairs.intersection(zip(window, window[1:]))) >= (PAIRS if len(left) > 1 else LEAST // 2):
+                _, agree = align(p, window)
+                if not agree:
+                    break
+                first, last = agree[0][0], agree[-1][0]
+                begin, end = agree[0][1], agree[-1][1]
+                rare = [k for k in range(first, last + 1) if p.words[k] in p.rare]
+                ok = {k for k, _ in agree}
+                if places is None:
+                    places = words.places(text)
+                h = Hit(i, places[lo + begin][0], places[lo + end][1], last - first + 1, len(agree), len(rare), sum(k in ok for k in rare))
+                if h.counts():
+                    spans[h.begin, h.end] = h
+                window[begin : end + 1] = [""] * (end + 1 - begin)
+                left = [k for k in left if not begin <= k - lo <= end]
+        hits += [spans[x] for x in sorted(spans)]
     return hits
 
 
@@ -248,9 +251,9 @@ OUT = "doc_id long, item_id long, from_char int, to_char int, span_words int, ag
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
-    """One row for every document and passage with a hit, with the span of characters it covers.
+    """One row for every hit of a passage in a document, with the span of characters it covers.
 
-    Null and empty texts and passages give no row; repeated documents give repeated rows; a passage
+    A document that holds a passage, or pieces of it, several times has as many rows. Null and empty texts and passages give no row; repeated documents give repeated rows; a passage
     of fewer than twelve words of its own can't be found; whole texts are read. One pass over the
     documents for each block of passages, without a shuffle.
     """

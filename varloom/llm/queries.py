@@ -60,7 +60,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
