@@ -144,6 +144,22 @@ def test_every_copy_and_piece_is_removed(spark, between):
     assert hits(cleaned) == set() and "guljasgul" not in cleaned.lower() and cleaned.startswith("begin") and cleaned.endswith("end")
 
 
+def test_items_that_share_a_passage_or_sentences():
+    found = lambda text, items: sorted((h.item for h in find_leaks(text, Index(items), Words())))
+    # a repeated row, and two items with one passage in other spelling
+    assert found(f"x {P3} y", [*ITEMS, ITEMS[2], (50, P3.upper().replace(",", ""))]) == [3, 50]
+    # items that share all sentences but one
+    a, b = f"{P1} Gulnav kept 5512 rows of the lifted panels.", f"{P1} Banpri lost 6120 rows of the pooled scores."
+    both = [(60, a), (61, b), *ITEMS[1:]]
+    assert found(P1, both) == [60, 61] and found(a, both) == [60, 61]
+    # a piece of fewer than twelve own words beside a standing sentence, which alone is none
+    own, line = "whereas Jasulk-type baselines kept 1478 lifted signals.", "All notes end with this standing line."
+    assert found(f"so {own} {line} then", ITEMS) == [2]
+    # with a single name that may agree by chance it is the frame, not the passage
+    assert found(f"so whereas Fenhir-type ranks kept 1478 mixed signals. {line} then", ITEMS) == []
+    assert found(f"so {own} then", ITEMS) == [] and found(f"{line} Nothing else. {line}", ITEMS) == []
+
+
 SAMPLES = {
     "en": ["The model drops every row without a gene because the table is old.", "We repeated the run and found the same order of all the values.", "Nobody has checked whether the sample was written before the merge."],
     "de": ["Das Modell verliert jede Zeile ohne Gen, weil die Tabelle alt ist.", "Wir haben die Rechnung wiederholt und dieselbe Reihenfolge der Werte erhalten.", "Bisher hat niemand geprüft, ob die Probe vorher geschrieben wurde."],

@@ -9,7 +9,10 @@ if fewer than one word in three differs. Other sentences may stand between the p
 small fixed cost. A hit must cover twelve words of the passage and hold at least half of its rare
 words there, which a text of the same frame with other names and numbers does not.
 
-Sentences that several passages share (standing sentences) are taken out of the passages first.
+Passages with the same words are one passage with several items. Sentences that several different
+passages share (standing sentences) stay in the passages, but their words are never rare, so a hit
+needs words of the passage's own. A sentence with names or numbers that only a few passages share is
+no standing sentence: it belongs to each of them.
 Passages come in blocks of bounded size, each scanned in a pass of its own, so the broadcast never
 grows with the number of passages.
 """
@@ -20,7 +23,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -91,14 +94,26 @@ class Words:
 class Passage:
     words: list[str]
     ends: set[int]  # indices of the words that end a sentence
+    items: list[int]
+    own: list[bool]  # whether a word stands in a sentence of the passage's own
     rare: set[str] = field(default_factory=set)
     pairs: set[tuple[str, str]] = field(default_factory=set)
 
 
 def standing_sentences(texts: list[str], words: Words) -> set[tuple[str, ...]]:
-    """Sentences, in normal form, that more than one passage holds."""
-    seen = Counter(s for t in texts if t for s in {tuple(words(x)) for x in _SENTENCE.split(t)})
-    return {s for s, n in seen.items() if n > 1}
+    """Sentences, in normal form, that more than one passage holds; with names or numbers, that more than a few hold.
+
+    The texts must differ in normal form.
+    """
+    seen, with_names = Counter(), set()
+    for t in texts:
+        held = {}
+        for x in _SENTENCE.split(t or ""):
+            held.setdefault(tuple(words(x)), x)
+        seen.update(held.keys())
+        with_names |= {s for s, x in held.items() if named(x)}
+    few = max(3, int(RARE * len(texts)))
+    return {s for s, n in seen.items() if n > (few if s in with_names else 1)}
 
 
 def named(sentence: str) -> set[str]:
@@ -112,24 +127,31 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], standing: set[tuple[str, ...]] | None = None):
         words = Words()
-        shared = standing_sentences([t for _, t in items], words) if standing is None else standing
+        forms: dict[tuple[str, ...], tuple[str, list[int]]] = {}
+        for i, text in items:
+            ids = forms.setdefault(tuple(words(text or "")), (text, []))[1]
+            if i not in ids:
+                ids.append(i)
+        shared = standing_sentences([t for t, _ in forms.values()], words) if standing is None else standing
         self.passages: dict[int, Passage] = {}
         names: set[str] = set()
-        for i, text in items:
-            own, ends = [], set()
+        for k, (text, ids) in enumerate(forms.values()):
+            all_words, own, ends = [], [], set()
             for sentence in _SENTENCE.split(text or ""):
                 ws = words(sentence)
-                if tuple(ws) not in shared:
-                    own += ws
-                    ends.add(len(own) - 1)
+                is_own = tuple(ws) not in shared
+                all_words += ws
+                own += [is_own] * len(ws)
+                ends.add(len(all_words) - 1)
+                if is_own:
                     names |= named(sentence)
-            if len(own) >= LEAST:
-                self.passages[i] = Passage(own, ends)
+            if len(all_words) >= LEAST and any(own):
+                self.passages[k] = Passage(all_words, ends, ids, own)
         held = Counter(w for p in self.passages.values() for w in set(p.words))
         most = max(3, int(RARE * len(self.passages)))
         self.by_word: dict[str, list[int]] = defaultdict(list)
         for i, p in self.passages.items():
-            few = {w for w in p.words if held[w] <= most}
+            few = {w for w, own in zip(p.words, p.own) if own and held[w] <= most}
             p.rare = few & names if len(few & names) > 1 else few
             p.pairs = set(zip(p.words, p.words[1:]))
             for w in p.rare:
@@ -180,12 +202,13 @@ class Hit:
     agree: int
     rare: int
     rare_agree: int
+    own: int  # agreeing words of the passage's own sentences
 
     def counts(self) -> bool:
-        """Long enough, with its rare words; a single rare word may agree by chance and needs the full length in agreement."""
+        """Long enough, with its rare words; a single rare word may agree by chance and needs the full length in agreement in the passage's own sentences."""
         if self.span < LEAST or not self.rare_agree or self.rare_agree < AGREE * self.rare:
             return False
-        return self.rare_agree > 1 or self.agree >= LEAST
+        return self.rare_agree > 1 or self.own >= LEAST
 
 
 def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
@@ -221,16 +244,16 @@ def find_leaks(text: str, index: Index, words: Words) -> list[Hit]:
                     break
                 first, last = agree[0][0], agree[-1][0]
                 begin, end = agree[0][1], agree[-1][1]
-                rare = [k for k in range(first, last + 1) if p.words[k] in p.rare]
+                rare = [k for k in range(first, last + 1) if p.own[k] and p.words[k] in p.rare]
                 ok = {k for k, _ in agree}
                 if places is None:
                     places = words.places(text)
-                h = Hit(i, places[lo + begin][0], places[lo + end][1], last - first + 1, len(agree), len(rare), sum(k in ok for k in rare))
+                h = Hit(p.items[0], places[lo + begin][0], places[lo + end][1], last - first + 1, len(agree), len(rare), sum(k in ok for k in rare), sum(p.own[k] for k in ok))
                 if h.counts():
                     spans[h.begin, h.end] = h
                 window[begin : end + 1] = [""] * (end + 1 - begin)
                 left = [k for k in left if not begin <= k - lo <= end]
-        hits += [spans[x] for x in sorted(spans)]
+        hits += [replace(spans[x], item=item) for item in p.items for x in sorted(spans)]
     return hits
 
 
@@ -254,7 +277,8 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """One row for every hit of a passage in a document, with the span of characters it covers.
 
     A document that holds a passage, or pieces of it, several times has as many rows. Null and empty texts and passages give no row; repeated documents give repeated rows; a passage
-    of fewer than twelve words of its own can't be found; whole texts are read. One pass over the
+    of fewer than twelve words can't be found, nor one without a sentence of its own; items with the
+    same words have the same hits, and an item that is repeated counts once; whole texts are read. One pass over the
     documents for each block of passages, without a shuffle.
     """
     spark = docs.sparkSession
