@@ -1,13 +1,18 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from varloom.plans import lens, models
 from varloom.stats import gram as gm, simulate as sim, sldsc
 from varloom.stats.fit import CheckpointStore, Fit, cross_validate, fit_hierarchical, fit_nuclear, fit_path, fit_rank1, merge_stores, rank1_factors
 from varloom.stats.report import json_safe, summarize_run
 from varloom.stats.solve import nnls, nonnegative_normal, nuclear, randomized_svd, shrink_bounded, shrink_singular
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_nnls_reaches_the_conditions_of_optimality():
     rng = np.random.default_rng(0)
@@ -174,3 +179,21 @@ def test_report():
         with pytest.raises(ValueError):
             summarize_run(*bad, "x")
     assert json_safe({1: np.float64("nan"), "a": np.arange(2), "b": (1, float("inf"))}) == {"1": None, "a": [0, 1], "b": [1, None]}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_sldsc_fit_has_a_model_of_every_context(spark):
+    names = [f"c{c}" for c in range(1, 10)]
+    got = models.sldsc_fit(spark, DATA).collect()
+    of = lambda m: [r.name for r in got if r.model == m]
+    assert {r.model for r in got} == {*names, "joint"} and of("joint") == [*names, "residual_ld_score"]
+    assert all(of(n) == [n, "residual_ld_score"] for n in names) and all(np.isfinite(r.coefficient) for r in got)
+    # the normal equations by hand: c4 alone
+    t, m = lens.triples(spark, DATA).where("mechanism_idx = 4").groupBy("variant_idx").agg(F.sum("value").alias("v")).toPandas(), lens.matrix(spark, DATA).toPandas()
+    v = m["col_idx"].map(dict(zip(t["variant_idx"], t["v"]))).fillna(0.0)
+    x = pd.DataFrame({"a": 0.1 * (m["r2"] * v).groupby(m["row_idx"]).sum(), "b": 0.1 * m.groupby("row_idx")["r2"].sum()})
+    g = models._gwas(spark, DATA).toPandas().set_index("variant_idx")["chisq"]
+    x = x.join(g, how="inner")
+    w = np.sqrt(1 / np.maximum(x["chisq"], 1)).to_numpy()
+    want = np.linalg.lstsq(x[["a", "b"]].to_numpy() * w[:, None], (x["chisq"] - 1).to_numpy() * w, rcond=None)[0]
+    assert np.allclose([r.coefficient for r in got if r.model == "c4"], want, rtol=1e-6)
