@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, leaks
+from varloom.llm import bpe
 from varloom.llm.bpe import Encoder, Transducer, Utf8Machine, decode, decode_ids, encode_texts, load_ranks
 from varloom.llm.language import Detector, Filters, label_code, language_segments, units, wrong_labels
-from varloom.llm.leaks import Index, Words, find_leaks, leaked_spans, remove_spans
+from varloom.llm.leaks import Index, Words, cleaned_documents, find_leaks, leaked_spans, remove_spans
 
 FOLDER = bpe.TOKENIZERS
 needs_files = pytest.mark.skipif(not os.path.exists(f"{FOLDER}/byte_bpe_50k.tiktoken"), reason="no public vocabularies")
@@ -122,14 +122,13 @@ def test_leaks_found_and_refused():
     assert hits(far + P2 + far) == {2}
 
 
-def test_leak_frames(spark, monkeypatch):
+def test_leak_frames(spark):
     docs = spark.createDataFrame([(1, f"x {P3} y", "q"), (2, None, "q"), (3, "", "q"), (4, "nothing", "q"), (1, f"x {P3} y", "q")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([*ITEMS, (99, None), (98, "too short")], "item_id long, passage string")
     s = leaked_spans(docs, items)
     assert sorted((r.doc_id, r.item_id) for r in s.collect()) == [(1, 3), (1, 3)]
     assert {r.text for r in remove_spans(docs.select("doc_id", "text"), s).collect()} == {"x . y"}
-    monkeypatch.setattr(leaks, "BLOCK", 2)
-    assert sorted((r.doc_id, r.item_id) for r in leaked_spans(docs, items).collect()) == [(1, 3), (1, 3)]
+    assert sorted((r.doc_id, r.item_id) for r in leaked_spans(docs, items, broadcast_chars=0).collect()) == [(1, 3)] * 2
     assert leaked_spans(docs, items.limit(0)).count() == 0 and leaked_spans(docs.limit(0), items).count() == 0
 
 
@@ -160,6 +159,49 @@ def test_items_that_share_a_passage_or_sentences():
     assert found(f"so {own} then", ITEMS) == [] and found(f"{line} Nothing else. {line}", ITEMS) == []
 
 
+def test_both_ways_give_the_same_rows(spark):
+    share = "All of these panels end with one line that two passages hold."
+    items = [*ITEMS, ITEMS[0], (50, P3.upper().replace(",", "")), (60, f"{P1} Gulnav kept 5512 rows of the lifted panels. {share}"), (61, f"{P2} Banpri lost 6120 rows of the pooled scores. {share}"), (62, "short"), (63, None), (None, P1)]
+    texts = [P1, P2, P3, share, f"{P3} and {P3}", f"{P1} then {P2}", "nothing", P1.replace("ranks", "rows"), f"{share} Gulnav kept 5512 rows of the lifted panels."]
+    docs = spark.createDataFrame([*enumerate(texts), (0, P1), (99, None), (98, "")], "doc_id long, text string")
+    its = spark.createDataFrame(items, "item_id long, passage string")
+    rows = lambda n: sorted(map(tuple, leaked_spans(docs, its, broadcast_chars=n).collect()))
+    assert rows(0) == rows(10**6) and len(rows(0)) > 10
+    # a line that several passages share is no leak, wherever they are
+    assert not any(r[0] == 3 for r in rows(0))
+
+
+def test_a_piece_beside_a_frame_is_found():
+    piece = "Of 7828 traits merged by Guljasgul, the nested ones explain 91 per mille of Rudpriolt tables"
+    frame = P3.replace("Fenhir", "Banulk").replace("7801", "33").replace("7828", "415").replace("Guljasgul", "Zantav").replace(" 91 ", " 77 ")
+    for gap in (" ", " short gap. ", " some words more of a kind." * 5):
+        assert hits(frame) == set() and hits(piece + gap + frame) == {3} == hits(frame + gap + piece)
+
+
+def test_pieces_with_changes_near_their_edges():
+    ws = P3.split()[15:35]
+    for at in ((2, 5, 8), (2, 9, 12), (3, 6, 17), ()):
+        assert hits("so " + " ".join("zz" if k in at else w for k, w in enumerate(ws)) + " there") == {3}
+
+
+def test_scripts_without_blanks():
+    zh = "\u6211\u4eec\u5728\u5b9e\u9a8c\u5ba4\u91cc\u91cd\u65b0\u6d4b\u91cf\u4e86\u6bcf\u4e00\u4e2a\u6837\u672c\u7684\u957f\u5ea6\u3002"
+    index = Index([(1, zh), *ITEMS[1:]])
+    found = lambda t: {h.item for h in find_leaks(t, index, Words())}
+    assert found(f"\u524d{zh}\u540e") == {1} and found(zh[3:17]) == {1} and found(zh[:6]) == set()
+    spans = find_leaks(f"ab {zh} cd", index, Words())
+    assert (spans[0].begin, spans[0].end) == (3, 2 + len(zh))
+
+
+def test_cleaning_leaves_nothing(spark):
+    half = P3.index(" ", len(P3) // 2)
+    docs = spark.createDataFrame([(1, f"{P3} and {P1}"), (2, f"{P3[:half]} {P3} {P3[half:]}"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, passage string")
+    out = cleaned_documents(docs, items)
+    assert {r.doc_id for r in out.collect()} == {1, 2} and leaked_spans(out, items).count() == 0
+    assert cleaned_documents(docs.limit(0), items).count() == 0 == cleaned_documents(docs.where("doc_id = 3"), items).count()
+
+
 SAMPLES = {
     "en": ["The model drops every row without a gene because the table is old.", "We repeated the run and found the same order of all the values.", "Nobody has checked whether the sample was written before the merge."],
     "de": ["Das Modell verliert jede Zeile ohne Gen, weil die Tabelle alt ist.", "Wir haben die Rechnung wiederholt und dieselbe Reihenfolge der Werte erhalten.", "Bisher hat niemand geprüft, ob die Probe vorher geschrieben wurde."],

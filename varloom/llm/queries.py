@@ -10,7 +10,7 @@ from .bpe import decode_ids, encode_texts
 from .components import connected_components
 from .cutoff import keep_fraction
 from .language import language_segments, wrong_labels
-from .leaks import leaked_spans, remove_spans
+from .leaks import cleaned_documents, leaked_spans
 from .splits import assign_splits, broken_families, families, with_untied
 from .topn import top_n
 
@@ -65,8 +65,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """The documents with leaks, without the leaked spans."""
-    docs = table(spark, d, "documents")
-    return remove_spans(docs, leaked_spans(docs, table(spark, d, "eval_items")))
+    return cleaned_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
