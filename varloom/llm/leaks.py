@@ -9,7 +9,8 @@ leave pairs of the window intact on either side of them.
 Verification: other sentences may stand between the passage's own at a small fixed cost; along the
 alignment the longest stretch is taken that covers twelve words of the passage, of which fewer than
 one in three differ, and holds at least half of its rare words there, which a text of the same frame
-with other names and numbers does not. A stretch begins and ends with two agreeing words or a rare
+with other names and numbers does not; what foreign sentences part must hold an agreeing rare word on
+either side. A stretch begins and ends with two agreeing words or a rare
 one, as a single common word may agree by chance. What was found, or refused, is blanked and the
 rest aligned again, so every copy and piece gives a span of its own.
 
@@ -327,8 +328,33 @@ class Hit:
     rare_agree: int
 
 
+def _supported(p: Passage, words: list[str], path: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Runs of the path's parts between foreign sentences, each part with an agreeing rare word; a frame without any joins nothing."""
+    parts, seen = [[]], None
+    for i, j in path:
+        if j >= 0:
+            if seen is not None and j > seen + 1:
+                parts.append([])
+            seen = j
+        parts[-1].append((i, j))
+    run = []
+    for part in parts:
+        if any(i >= 0 and j >= 0 and p.own[i] and p.words[i] == words[j] and p.words[i] in p.rare for i, j in part):
+            run += part
+        elif run:
+            yield run
+            run = []
+    if run:
+        yield run
+
+
 def best_stretch(p: Passage, words: list[str], path: list[tuple[int, int]]) -> Hit | None:
     """The longest stretch of the path that is a hit; see the module's text."""
+    hits = [h for run in _supported(p, words, path) if (h := _longest(p, words, run))]
+    return max(hits, key=lambda h: (h.span, h.agree)) if hits else None
+
+
+def _longest(p: Passage, words: list[str], path: list[tuple[int, int]]) -> Hit | None:
     of_passage = np.array([i >= 0 for i, _ in path])
     same = np.array([i >= 0 and j >= 0 and p.words[i] == words[j] for i, j in path])
     own = np.array([i >= 0 and p.own[i] for i, _ in path])
