@@ -233,7 +233,7 @@ def test_languages():
 
 def test_labels():
     assert [label_code(x) for x in ("en", " EN", "en-GB", "en_US", "eng", "English", "Deutsch", "español", "русский", "nl-BE")] == ["en"] * 6 + ["de", "es", "ru", "nl"]
-    assert label_code(None) is None and {label_code(x) for x in ("", "n/a", "xx", "sv", "??", "-", "und")} == {""}
+    assert label_code(None) is None and {label_code(x) for x in ("", "n/a", "xx", "fi", "??", "-", "und")} == {""} and label_code("sv") == "sv"
 
 
 def test_language_frames(spark):
@@ -246,3 +246,27 @@ def test_language_frames(spark):
     assert got == [(2, 1, "en"), (2, 1, "en"), (3, 1, "de"), (4, 1, "en"), (4, 2, "de"), (8, 1, "de")]
     assert language_segments(docs.limit(0), samples).count() == 0
     assert language_segments(docs, samples.limit(0)).count() == 0
+    # texts without a full sentence have a language, but are no case
+    plain = docs.sparkSession.createDataFrame([(1, "das modell verliert jede zeile ohne gen", "en"), (2, "12\t5", "en")], "doc_id long, text string, lang string")
+    assert [(r.doc_id, r.lang, r.sentences) for r in language_segments(plain, samples).collect()] == [(1, "de", 0)]
+    assert wrong_labels(language_segments(plain, samples)).count() == 0
+
+
+def test_bounded_fit_is_the_same_on_every_run(spark):
+    from varloom.llm.language import lowest_hashes
+
+    df = spark.range(1000).selectExpr("id % 500 as a", "'x' as b")
+    got = [sorted(r.a for r in lowest_hashes(df.repartition(n), ["a"], 40).collect()) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 40 == len(set(got[0]))
+    assert lowest_hashes(df, ["a"], 5000).count() == 500
+
+
+def test_a_ninth_language_and_other_scripts(spark):
+    pl = ["Model traci ka\u017cdy wiersz bez genu, poniewa\u017c tabela jest stara.", "Powt\u00f3rzyli\u015bmy obliczenia i otrzymali\u015bmy t\u0119 sam\u0105 kolejno\u015b\u0107 warto\u015bci.", "Nikt jeszcze nie sprawdzi\u0142, czy pr\u00f3bka zosta\u0142a zapisana."]
+    zh = ["\u6211\u4eec\u91cd\u65b0\u6d4b\u91cf\u4e86\u6bcf\u4e00\u4e2a\u6837\u672c\u7684\u957f\u5ea6\u3002", "\u8fd9\u4e2a\u6a21\u578b\u4e22\u5931\u4e86\u6ca1\u6709\u57fa\u56e0\u7684\u884c\u3002"]
+    eo = ["La modelo perdas \u0109iun vicon sen geno, \u0109ar la tabelo estas malnova.", "Ni ripetis la kalkulon kaj ricevis la saman ordon de \u0109iuj valoroj."]
+    samples = spark.createDataFrame([*pairs(), *[("pl", x) for x in pl], *[("zh", x) for x in zh], *[("eo", x) for x in eo]], "lang string, sentence string")
+    en = " ".join(SAMPLES["en"])
+    rows = [(1, " ".join(pl), "pl"), (2, " ".join(pl), "Polski"), (3, " ".join(pl), "en"), (4, "".join(zh), "zh"), (5, f"{en} {''.join(zh)}", "en"), (6, " ".join(eo), "eo"), (7, " ".join(eo), "esperanto")]
+    seg = language_segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"), samples, names={"eo": "epo esperanto"})
+    assert sorted((r.doc_id, r.segment, r.lang) for r in wrong_labels(seg).collect()) == [(3, 1, "pl"), (5, 1, "en"), (5, 2, "zh")]

@@ -41,25 +41,42 @@ RATE, LEAST_DOCS = 0.05, 2
 #: Share of a document's sentences that the first fit must find to be in the label's language; the rest may be its errors.
 MOSTLY = 0.75
 
-#: Codes and names of the languages, without accents and in lower case.
+#: Codes and names of languages, without accents and in lower case. Any language of the labelled sentences
+#: is known by its own code as well; ``names`` adds further notations.
 NAMES = {
+    "cs": "cs ces cze czech cestina",
+    "da": "da dan danish dansk",
     "de": "de deu ger german deutsch",
     "en": "en eng english",
     "es": "es spa spanish espanol castellano",
     "fr": "fr fra fre french francais",
     "it": "it ita italian italiano",
+    "ja": "ja jpn japanese",
     "nl": "nl nld dut dutch nederlands",
+    "pl": "pl pol polish polski",
     "pt": "pt por portuguese portugues",
     "ru": "ru rus russian русскии",
+    "sv": "sv swe swedish svenska",
+    "tr": "tr tur turkish turkce",
+    "uk": "uk ukr ukrainian украінська",
+    "zh": "zh zho chi chinese",
 }
 _CODE = {n: code for code, names in NAMES.items() for n in names.split()}
 
+# letters that the notations above have with accents, for the comparison in the scan
+_ACCENTS = "\u00e1\u00e0\u00e2\u00e3\u00e4\u00e5\u00e7\u00e9\u00e8\u00ea\u00eb\u00ed\u00ec\u00ee\u00ef\u00f1\u00f3\u00f2\u00f4\u00f5\u00f6\u00fa\u00f9\u00fb\u00fc\u010d\u0161\u0439\u0457"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuucs\u0438\u0456"
+
 _LETTERS = regex.compile(r"\b[\p{L}\p{M}]{2,}+\b")
 _ASCII_LETTERS = re.compile(r"\b[A-Za-z]{2,}\b", re.ASCII)
 # a sentence ends at a mark, maybe with closing signs, that blank space follows; blank lines and list marks end one as well
-_MARK = r"""[.?!\u2026][)\]}"'\u00bb\u201d\u2019\u203a*_]{0,3}"""
-_CUT = re.compile(rf"({_MARK})\s+|\n[ \t\r]*\n\s*|\n(?=[ \t]*[-*\u2022] )")
-_ENDED = re.compile(rf"{_MARK}\s*$")
+_MARK = r"""[.?!\u2026\u061f\u06d4\u0964\u0965\u1362\u1367\u104b][)\]}"'\u00bb\u201d\u2019\u203a*_]{0,3}"""
+# full-width marks end a sentence without a blank
+_WIDE = r"[\u3002\uff01\uff1f\uff61][\u300d\u300f\uff09\u201d\u2019]{0,3}"
+_CUT = re.compile(rf"({_MARK})\s+|({_WIDE})\s*|\n[ \t\r]*\n\s*|\n(?=[ \t]*[-*\u2022] )")
+_ENDED = re.compile(rf"(?:{_MARK}|{_WIDE})\s*$")
+# scripts written without blanks: their runs count as overlapping pairs of characters
+_NO_BLANKS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def plain(word: str) -> str:
@@ -69,15 +86,27 @@ def plain(word: str) -> str:
 
 def language_words(text: str) -> list[str]:
     """Words of letters only; sequences over a few letters and very long runs are identifiers."""
-    return [w for w in (_ASCII_LETTERS if text.isascii() else _LETTERS).findall(text) if len(w) < 12 or (len(w) <= 40 and len(set(w)) > 5)]
+    if text.isascii():
+        found = _ASCII_LETTERS.findall(text)
+    else:
+        found = _LETTERS.findall(text)
+        if _NO_BLANKS.search(text):
+            found = [x for w in found for x in ([w[i : i + 2] for i in range(len(w) - 1)] if _NO_BLANKS.search(w) else [w])]
+    return [w for w in found if len(w) < 12 or (len(w) <= 40 and len(set(w)) > 5)]
+
 
+def notations(langs: Iterable[str], names: dict[str, str] | None = None) -> dict[str, str]:
+    """Every notation with its code: the fixed ones, the codes of ``langs``, and ``names`` (code to names parted by blanks)."""
+    more = {plain(n): code for code, ns in (names or {}).items() for n in [code, *ns.split()]}
+    return {**{plain(lang): lang for lang in langs}, **_CODE, **more}
 
-def label_code(label: str | None) -> str | None:
+
+def label_code(label: str | None, known: dict[str, str] = _CODE) -> str | None:
     """Two-letter code of a label in any notation; ``''`` for one that names no language known here."""
     if label is None:
         return None
     base = regex.split(r"[-_\s(]", plain(label.strip()))[0]
-    return _CODE.get(base, "")
+    return known.get(base, "")
 
 
 class Filters:
@@ -131,7 +160,7 @@ class Unit:
 def units(text: str) -> list[Unit]:
     """Sentences and what stands between them, in reading order."""
     out, at = [], 0
-    ends = [(m.end(1) if m[1] else m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]
+    ends = [(m.end(m.lastindex) if m.lastindex else m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]
     for stop, nxt in ends:
         part = text[at:stop]
         words = language_words(part)
@@ -155,28 +184,28 @@ class Detector:
 
     def __init__(self, filters: Filters, most: int = 200_000):
         self.filters, self.most = filters, most
-        self.known: dict[str, np.ndarray] = {}
-
-    def _counts(self, words: list[str]) -> np.ndarray:
-        known, rows = self.known, []
-        for raw in words:
-            c = known.get(raw)
-            if c is None:
-                if len(known) >= self.most:
-                    known.clear()
-                c = known[raw] = self.filters.counts(plain(raw))
-            rows.append(c)
-        return np.sum(rows, axis=0)
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, len(filters.langs) + 1))
+
+    def _new(self, word: str) -> int:
+        k = self.known[word] = len(self.known)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = self.filters.counts(plain(word))
+        return k
+
+    def _counts(self, parts: list[list[str]]) -> np.ndarray:
+        """Sums of the words' counts, one row for each (non-empty) list of words."""
+        if len(self.known) >= self.most:
+            self.known.clear()
+        get, new = self.known.get, self._new
+        at = [new(w) if (k := get(w)) is None else k for words in parts for w in words]
+        starts = np.cumsum([0] + [len(words) for words in parts[:-1]])
+        return np.add.reduceat(self.table[at], starts, axis=0)
 
-    def __call__(self, text: str | None) -> list[Stretch]:
-        """The longest stretches in one language; none for a text without a full sentence."""
-        full = [u for u in units(text)] if text else []
-        full = [u for u in full if u.full]
-        if not full or not self.filters.langs:
-            return []
-        e = np.array([self._counts(u.words) for u in full])
-        e, n = e[:, :-1], e[:, -1]
-        # best run of languages over the sentences
+    @staticmethod
+    def _run(e: np.ndarray) -> list[int]:
+        """The best run of languages over the sentences."""
         score, back = e[0].copy(), []
         for row in e[1:]:
             top = int(score.argmax())
@@ -186,7 +215,21 @@ class Detector:
         path = [int(score.argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
-        path.reverse()
+        return path[::-1]
+
+    def __call__(self, text: str | None) -> list[Stretch]:
+        """The longest stretches in one language; none for a text without a full sentence."""
+        full = [u for u in units(text)] if text else []
+        full = [u for u in full if u.full]
+        if not full or not self.filters.langs:
+            return []
+        e = self._counts([u.words for u in full])
+        e, n = e[:, :-1], e[:, -1]
+        tops = e.argmax(axis=1)
+        if (tops == tops[0]).all():  # one language is the best of every sentence
+            path = [int(tops[0])] * len(full)
+        else:
+            path = self._run(e)
         out, i = [], 0
         while i < len(full):
             j = i
@@ -201,28 +244,55 @@ class Detector:
             i = j + 1
         return out
 
+    def whole(self, text: str | None) -> list[Stretch]:
+        """The language of a text without a full sentence, by all its words; none for a text without words."""
+        words = language_words(text) if text else []
+        if not words or not self.filters.langs:
+            return []
+        e = self._counts([words])[0]
+        order = np.argsort(-e[:-1], kind="stable")
+        lead = (e[order[0]] - (e[order[1]] if len(order) > 1 else 0.0)) / max(float(e[-1]), 1.0)
+        return [Stretch(self.filters.langs[int(order[0])], 1 / (1 + math.exp(-12 * lead)), 0, len(text), 0)]
+
+
+def lowest_hashes(df: DataFrame, cols: list[str], most: int) -> DataFrame:
+    """At most ``most`` distinct rows of ``cols``, those of the lowest hashes, the same on every run.
+
+    Rows are counted first and thinned by a threshold on the hash, so only about twice as many are ever sorted.
+    """
+    h = F.xxhash64(*cols)
+    rows = df.select(*cols)
+    n = rows.agg(F.approx_count_distinct(h)).first()[0]
+    if n > 3 * most:
+        rows = rows.where(h < F.lit(int(-(2**63) + 2**64 * (2 * most / n))))
+    return rows.distinct().orderBy(h, *cols).limit(most)
+
 
-def fit_filters(docs: DataFrame, samples: list[tuple[str, str]], most: int = MOST_DOCS) -> Filters:
+def fit_filters(docs: DataFrame, samples: list[tuple[str, str]], most: int = MOST_DOCS, names: dict[str, str] | None = None) -> Filters:
     """Both fits, for ``docs`` of ``doc_id, text, label``.
 
-    At most ``most`` documents are read for the second fit: those whose label names a language, in
-    the order of a hash of their identifier.
+    At most ``most`` identifiers are chosen for the second fit: of the documents whose label names a
+    language, those with the lowest hashes. Only their texts leave the scan, spread over the tasks.
     """
     spark = docs.sparkSession
     first = Filters(samples)
     if not first.langs:
         return first
     shared = ship(spark, first)
-    named = sorted(n for n, code in _CODE.items() if code in first.langs)
-    base = F.split(F.lower(F.trim("label")), r"[-_\s(]")[0]
-    some = docs.where(base.isin(named)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = notations(first.langs, names)
+    named = sorted(n for n, code in known.items() if code in first.langs)
+    base = F.translate(F.split(F.lower(F.trim("label")), r"[-_\s(]")[0], _ACCENTS, _PLAIN)
+    usable = docs.where(base.isin(named) & F.col("doc_id").isNotNull())
+    ids = [r["doc_id"] for r in lowest_hashes(usable, ["doc_id"], most).collect()]  # at most `most` numbers
+    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    some = spread(usable.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detect = Detector(shared())
         for b in batches:
             rows = []
             for t, given in zip(b["text"], b["label"]):
-                got, code = detect(t), label_code(given)
+                got, code = detect(t), label_code(given, known)
                 if got and sum(x.sentences for x in got if x.lang == code) >= MOSTLY * sum(x.sentences for x in got):
                     rows += [(code, w) for w in {plain(w) for u in units(t) if u.full for w in u.words} | {""}]
             yield pd.DataFrame(rows, columns=["lang", "word"])
@@ -240,20 +310,24 @@ def fit_filters(docs: DataFrame, samples: list[tuple[str, str]], most: int = MOS
 OUT = "doc_id long, label string, segment int, n_segments int, lang string, confidence double, from_char int, to_char int, sentences int"
 
 
-def language_segments(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str | Column = "lang", sample_lang: str = "lang", sentence: str = "sentence", most: int = MOST_SAMPLES, most_docs: int = MOST_DOCS) -> DataFrame:
-    """One row for each stretch of each document with a full sentence; ``label`` is the stored label's code.
+def language_segments(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str | Column = "lang", sample_lang: str = "lang", sentence: str = "sentence", most: int = MOST_SAMPLES, most_docs: int = MOST_DOCS, names: dict[str, str] | None = None) -> DataFrame:
+    """One row for each stretch of each document with words; ``label`` is the stored label's code.
 
-    ``label`` is null for a missing one and empty for one that names none of the languages. Null,
-    empty and blank texts and texts without a full sentence (a mark at its end and four words) give
-    no row. The filters, of some MB, are fitted on at most ``most`` sentences of ``samples`` and
-    ``most_docs`` documents, and broadcast. One pass over the documents, whole texts, without a
-    shuffle; repeated rows give repeated rows.
+    ``label`` is null for a missing one and empty for one that names none of the languages known
+    (``NAMES``, the codes of the samples, and ``names``). A text without a full sentence (a mark at its
+    end and four words) is one stretch of 0 ``sentences``, judged by all its words; null, empty and
+    blank texts and texts without words give no row. The filters, of some MB, are fitted on at most
+    ``most`` sentences of ``samples`` and ``most_docs`` documents, those of the lowest hashes, and
+    broadcast. One pass over the documents, whole texts, without a shuffle where the scan has a task
+    for every core; repeated rows give repeated rows.
     """
     spark = docs.sparkSession
     lab = F.col(label) if isinstance(label, str) else label
     texts = docs.where(F.length(text) > 0).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), lab.cast("string").alias("label"))
-    rows = samples.select(F.col(sample_lang), F.col(sentence)).where(F.col(sample_lang).isNotNull() & F.col(sentence).isNotNull()).limit(most).collect()
-    filters = ship(spark, fit_filters(texts, [(r[0], r[1]) for r in rows], most_docs))
+    usable = samples.select(F.col(sample_lang).alias("lang"), F.col(sentence).alias("sentence")).where("lang is not null and sentence is not null")
+    rows = lowest_hashes(usable, ["lang", "sentence"], most).collect()
+    fitted = fit_filters(texts, [(r[0], r[1]) for r in rows], most_docs, names)
+    filters, known = ship(spark, fitted), notations(fitted.langs, names)
     src = spread(texts, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,8 +335,8 @@ def language_segments(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id
         for b in batches:
             got = []
             for d, t, given in zip(b["doc_id"], b["text"], b["label"]):
-                stretches = detect(t)
-                code = label_code(given)
+                stretches = detect(t) or detect.whole(t)
+                code = label_code(given, known)
                 got += [(d, code, k, len(stretches), s.lang, s.confidence, s.begin, s.end, s.sentences) for k, s in enumerate(stretches, 1)]
             yield pd.DataFrame(got, columns=[c.split()[0] for c in OUT.split(", ")])
 
@@ -270,5 +344,5 @@ def language_segments(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id
 
 
 def wrong_labels(segments: DataFrame) -> DataFrame:
-    """Rows of ``language_segments`` whose document lacks a label, names another language, or is mixed."""
-    return segments.where((F.col("n_segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang")))
+    """Rows of ``language_segments`` whose document has a full sentence and lacks a label, names another language, or is mixed."""
+    return segments.where("sentences > 0").where((F.col("n_segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang")))
