@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import ship, spread
+from ..session import kept, ship, spread
 
 #: Slots of the filter, slots per n-gram, orders of the n-grams, extra weight of a whole word.
 SLOTS, HASHES, ORDERS, WHOLE = 1 << 20, 3, (2, 3, 4, 5), 3
@@ -69,6 +70,9 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuucs\u0438\u0456"
 
 _LETTERS = regex.compile(r"\b[\p{L}\p{M}]{2,}+\b")
 _ASCII_LETTERS = re.compile(r"\b[A-Za-z]{2,}\b", re.ASCII)
+# texts of letters without combining marks and of common signs, which the standard library matches faster
+_ODD = re.compile(r"[^\t-\r\x20-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u0370-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u22ff]")
+_PLAIN_LETTERS = re.compile(r"\b[^\W\d_]{2,}\b")
 # a sentence ends at a mark, maybe with closing signs, that blank space follows; blank lines and list marks end one as well
 _MARK = r"""[.?!\u2026\u061f\u06d4\u0964\u0965\u1362\u1367\u104b][)\]}"'\u00bb\u201d\u2019\u203a*_]{0,3}"""
 # full-width marks end a sentence without a blank
@@ -88,6 +92,8 @@ def language_words(text: str) -> list[str]:
     """Words of letters only; sequences over a few letters and very long runs are identifiers."""
     if text.isascii():
         found = _ASCII_LETTERS.findall(text)
+    elif not _ODD.search(text):
+        found = _PLAIN_LETTERS.findall(text)
     else:
         found = _LETTERS.findall(text)
         if _NO_BLANKS.search(text):
@@ -149,7 +155,7 @@ class Filters:
         return np.append((found - n * self.chance) / (1 - self.chance), n)
 
 
-@dataclass
+@dataclass(slots=True)
 class Unit:
     begin: int
     end: int
@@ -160,12 +166,12 @@ class Unit:
 def units(text: str) -> list[Unit]:
     """Sentences and what stands between them, in reading order."""
     out, at = [], 0
-    ends = [(m.end(m.lastindex) if m.lastindex else m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]
-    for stop, nxt in ends:
+    ends = [(m.end(m.lastindex), m.end(), True) if m.lastindex else (m.start(), m.end(), False) for m in _CUT.finditer(text)] + [(len(text), len(text), False)]
+    for stop, nxt, marked in ends:
         part = text[at:stop]
         words = language_words(part)
         if words:
-            out.append(Unit(at, stop, len(words) >= FULL and bool(_ENDED.search(part)), words))
+            out.append(Unit(at, stop, len(words) >= FULL and (marked or bool(_ENDED.search(part.rstrip()[-5:]))), words))
         at = nxt
     return out
 
@@ -328,10 +334,10 @@ def language_segments(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id
     rows = lowest_hashes(usable, ["lang", "sentence"], most).collect()
     fitted = fit_filters(texts, [(r[0], r[1]) for r in rows], most_docs, names)
     filters, known = ship(spark, fitted), notations(fitted.langs, names)
-    src = spread(texts, "doc_id")
+    src, key = spread(texts, "doc_id"), f"detector {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detect = Detector(filters())
+        detect = kept(key, lambda: Detector(filters()))  # the words it has counted serve later tasks too
         for b in batches:
             got = []
             for d, t, given in zip(b["doc_id"], b["text"], b["label"]):
