@@ -92,16 +92,17 @@ def context_contributions(masses: DataFrame, coefficients: DataFrame, context_ma
     return y.select("mechanism_idx", "annotation_count", "global_h2", "deviation_h2", "total_h2", share.alias("fraction"))
 
 
-def normal_equations(design: DataFrame, columns: list[str], y: str, w: str, by: list[str] | None = None) -> DataFrame:
+def normal_equations(design: DataFrame, columns: list[str], y: str, w: str, by: list[str] | None = None, more: list[Column] | None = None) -> DataFrame:
     """``by..., i, j, value`` of the weighted normal equations, from one pass over a wide design.
 
     ``j = len(columns)`` is the right-hand side; the last rows hold y'Wy at (len, len) and the sum
-    of weights at (len, len + 1). All sums are combined on the map side; the result has a few rows.
+    of weights at (len, len + 1). ``more`` are further aggregates, repeated in every row. All sums are combined on the map side; the result has a few rows.
     """
-    by, n = by or [], len(columns)
+    by, more, n = by or [], more or [], len(columns)
     cells = [(i, j, F.sum(F.col(w) * F.col(columns[i]) * F.col(columns[j]))) for i in range(n) for j in range(i, n)]
     cells += [(i, n, F.sum(F.col(w) * F.col(columns[i]) * F.col(y))) for i in range(n)]
     cells += [(n, n, F.sum(F.col(w) * F.col(y) * F.col(y))), (n, n + 1, F.sum(F.col(w)))]
-    wide = design.groupBy(*by).agg(*[c.alias(f"c{i}_{j}") for i, j, c in cells])
+    wide = design.groupBy(*by).agg(*[c.alias(f"c{i}_{j}") for i, j, c in cells], *more)
+    rest = [c for c in wide.columns if c not in by and c not in {f"c{i}_{j}" for i, j, _ in cells}]
     rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("value")) for i, j, _ in cells])
-    return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.i", "r.j", "r.value")
+    return wide.select(*by, *rest, F.explode(rows).alias("r")).select(*by, "r.i", "r.j", "r.value", *rest)

@@ -2,117 +2,225 @@
 
 With fixed weights the loss is quadratic in all coefficients, so the Gram matrix of the design, its
 product with the response, the response's square and the number of rows replace the rows in every
-iteration, every penalty and every fold: a fold is trained on the whole minus its own part.
+iteration, every penalty and every fold: a fold is trained on the whole minus its own part. Parameters
+meet only where their variants share a region, so a model of a hundred thousand parameters has a
+sparse Gram, of which the driver keeps the entries that exist, up to a bound that is checked first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Most parameters of a model that is fitted on the driver (its Gram matrix has their square).
-MOST_PARAMS = 5_000
-#: Rows of the design that a task turns into one partial Gram.
-ROWS = 4_096
+from ..session import Scratch
+
+#: Most parameters of a model, and most pairs of them that meet, of a Gram on the driver (16 bytes a pair, twice that while it is read).
+MOST_PARAMS, MOST_ENTRIES = 1_000_000, 60_000_000
+#: A model of this many parameters has a dense Gram.
+DENSE = 1_000
+#: Rows and cells of the design that a task multiplies at once, and columns of one product.
+ROWS, CELLS, TILE = 4_096, 4_000_000, 1_024
 
 
 @dataclass
-class Gram:
-    """``g`` (p x p), ``h`` (p), ``q``, and ``n``, the number of rows with a weight."""
+class Quadratic:
+    """A loss ``(x'gx - 2h'x + q) / n``; subclasses give the product with ``g``. ``n`` is the number of rows with a weight."""
 
-    g: np.ndarray
     h: np.ndarray
     q: float
     n: int
-    blocks: list["Gram"] = field(default_factory=list)
+    blocks: list["Quadratic"] = field(default_factory=list)
+
+    @property
+    def size(self) -> int:
+        return len(self.h)
 
-    def __sub__(self, other: "Gram") -> "Gram":
-        return Gram(self.g - other.g, self.h - other.h, self.q - other.q, self.n - other.n)
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def columns(self, which: Iterable[int]) -> np.ndarray:
+        unit = lambda j: np.bincount([j], minlength=self.size).astype(float)
+        return np.stack([self.dot(unit(j)) for j in which], axis=1)
 
     def loss(self, beta: np.ndarray) -> float:
-        return float((beta @ self.g @ beta - 2 * self.h @ beta + self.q) / max(self.n, 1))
+        return float((beta @ self.dot(beta) - 2 * self.h @ beta + self.q) / max(self.n, 1))
 
     def gradient(self, beta: np.ndarray) -> np.ndarray:
-        return 2 * (self.g @ beta - self.h) / max(self.n, 1)
+        return 2 * (self.dot(beta) - self.h) / max(self.n, 1)
 
+    def __sub__(self, other: "Quadratic") -> "Quadratic":
+        return Difference(self, other)
 
-def gram_entries(design: DataFrame, by: list[str], near: str = "region") -> DataFrame:
-    """``by..., p, q, value`` with p <= q, for ``design`` of ``by..., near, row, p, x, y, w`` (one row per non-zero).
 
-    Parameter -1 stands for the response and -2 for a weight's presence: (-1, -1) holds y'Wy,
-    (-2, -2) the number of rows. Rows come together by ``near`` (parameters meet within a region),
-    each task multiplies dense blocks of some thousand rows, and partial sums are combined.
-    """
-    x = F.sort_array(F.collect_list(F.struct("p", "x")))
-    rows = design.groupBy(*by, near, "row").agg(x.alias("cells"), F.first("y").alias("y"), F.first("w").alias("w"))
-    rows = rows.where("w != 0").repartition(near).sortWithinPartitions(*by, near)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-
-    def partial(held: list, key: tuple) -> pd.DataFrame:
-        params = sorted({c[0] for cells, _, _ in held for c in cells})
-        at = {p: i for i, p in enumerate(params)}
-        m = np.zeros((len(held), len(params) + 1))
-        w = np.array([r[2] for r in held])
-        for k, (cells, y, _) in enumerate(held):
-            for p, v in cells:
-                m[k, at[p]] += v
-            m[k, -1] = y
-        g = m.T @ (w[:, None] * m)
-        names = np.array([*params, -1])
-        i, j = np.nonzero(np.triu(np.abs(g)))
-        lo, hi = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
-        out = {"p": [*lo, -2], "q": [*hi, -2], "value": [*g[i, j], float(len(held))]}
-        return pd.DataFrame({**{b: k for b, k in zip(by, key)}, **out}) if by else pd.DataFrame(out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, key = [], None
-        for b in batches:
-            keys = list(zip(*[b[c] for c in by])) if by else [()] * len(b)
-            for k, cells, y, w in zip(keys, b["cells"], b["y"], b["w"]):
-                if held and (k != key or len(held) >= ROWS):
-                    yield partial(held, key)
-                    held = []
-                key = k
-                held.append(([(int(c["p"]), float(c["x"])) for c in cells], float(y), float(w)))
-        if held:
-            yield partial(held, key)
+class Gram(Quadratic):
+    """A dense one."""
+
+    def __init__(self, g: np.ndarray, h: np.ndarray, q: float, n: int, blocks: list[Quadratic] | None = None):
+        super().__init__(h, q, n, blocks or [])
+        self.g = g
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        return self.g @ x
+
+    def columns(self, which: Iterable[int]) -> np.ndarray:
+        return self.g[:, list(which)]
+
+
+class SparseGram(Quadratic):
+    """The pairs ``i <= j`` that meet, with their values."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, h: np.ndarray, q: float, n: int, blocks: list[Quadratic] | None = None):
+        super().__init__(h, q, n, blocks or [])
+        order = np.lexsort((j, i))
+        i, self.j, self.v = i[order], j[order].astype(np.intp), v[order]
+        self.rows, self.starts = np.unique(i, return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(i)))
+        on = i == self.j
+        self.diagonal = np.bincount(self.j[on], self.v[on], minlength=self.size)
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        out = np.bincount(self.j, self.v * np.repeat(x[self.rows], self.counts), minlength=self.size) - self.diagonal * x
+        if len(self.rows):
+            out[self.rows] += np.add.reduceat(self.v * x[self.j], self.starts)
+        return out
+
+
+class Difference(Quadratic):
+    """One loss's rows without another's."""
+
+    def __init__(self, whole: Quadratic, part: Quadratic):
+        pairs = zip(whole.blocks, part.blocks) if len(whole.blocks) == len(part.blocks) else ()
+        super().__init__(whole.h - part.h, whole.q - part.q, whole.n - part.n, [a - b for a, b in pairs])
+        self.whole, self.part = whole, part
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        return self.whole.dot(x) - self.part.dot(x)
 
-    out = rows.mapInPandas(run, f"{kinds + ', ' if kinds else ''}p long, q long, value double")
-    return out.groupBy(*by, "p", "q").agg(F.sum("value").alias("value"))
+    def columns(self, which: Iterable[int]) -> np.ndarray:
+        which = list(which)
+        return self.whole.columns(which) - self.part.columns(which)
 
 
-def load(entries: pd.DataFrame, n_params: int) -> Gram:
+class Sum(Quadratic):
+    """The rows of several losses, which stay its blocks."""
+
+    def __init__(self, parts: list[Quadratic]):
+        super().__init__(sum(p.h for p in parts), sum(p.q for p in parts), sum(p.n for p in parts), list(parts))
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        return sum(p.dot(x) for p in self.blocks)
+
+    def columns(self, which: Iterable[int]) -> np.ndarray:
+        which = list(which)
+        return sum(p.columns(which) for p in self.blocks)
+
+
+def total(parts: list[Quadratic]) -> Quadratic:
+    return Sum(parts)
+
+
+def _products(m: np.ndarray, w: np.ndarray, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The non-zero entries of ``m'diag(w)m``, each pair once, tile by tile."""
+    for a in range(0, m.shape[1], TILE):
+        left = (m[:, a : a + TILE] * w[:, None]).T
+        for b in range(a, m.shape[1], TILE):
+            g = left @ m[:, b : b + TILE]
+            i, j = np.nonzero(np.triu(g) if a == b else g)
+            x, y = names[a + i], names[b + j]
+            yield np.minimum(x, y), np.maximum(x, y), g[i, j]
+
+
+def gram_entries(design: DataFrame, by: list[str], near: list[str] | str = "region", unweighted: bool = False) -> DataFrame:
+    """``by..., s, p, q, value`` with p <= q, for ``design`` of ``by..., near..., row, p, x, y, w`` (one row per non-zero).
+
+    ``s`` is 0 for the weighted products and 1 for those without weights, which are made in the same
+    pass if asked for. Parameter -1 stands for the response and -2 for a row's presence: (-1, -1) holds
+    y'Wy, (-2, -2) the number of rows. Rows come together by ``near`` (parameters meet within a
+    region), each task multiplies blocks of bounded size, and partial sums are combined.
+    """
+    near = [near] if isinstance(near, str) else near
+    keys = list(dict.fromkeys([*by, *near]))
+    rows = design.groupBy(*keys, "row").agg(F.collect_list("p").alias("ps"), F.collect_list("x").alias("xs"), F.first("y").alias("y"), F.first("w").alias("w"))
+    rows = rows.where("w != 0").repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.select(*by, "ps", "xs", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by]
+    types = [pa.int32() if rows.schema[b].dataType.simpleString() == "int" else pa.int64() for b in by]
+    names = [*by, "s", "p", "q", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            ps, xs = b.column(len(by)), b.column(len(by) + 1)
+            start = np.append(ps.offsets.to_numpy(), [])[: n + 1].astype(np.int64)
+            p, x = ps.values.to_numpy(zero_copy_only=False), xs.values.to_numpy(zero_copy_only=False)
+            y, w = (b.column(len(by) + k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            key = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(by))]
+            new = np.ones(n, dtype=bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in key], axis=0) if key else False
+            edges = [*np.flatnonzero(new).tolist(), n]
+            for lo, hi in zip(edges, edges[1:]):
+                at = lo
+                while at < hi:
+                    end = min(hi, at + ROWS)
+                    while True:
+                        part = slice(start[at], start[end])
+                        params, where = np.unique(p[part], return_inverse=True)
+                        if end - at == 1 or (end - at) * len(params) <= CELLS:
+                            break
+                        end = at + max(1, (end - at) // 2)
+                    m = np.zeros((end - at, len(params) + 1))
+                    np.add.at(m, (np.repeat(np.arange(end - at), np.diff(start[at : end + 1])), where), x[part])
+                    m[:, -1] = y[at:end]
+                    called = np.append(params, -1)
+                    for s in (0, 1) if unweighted else (0,):
+                        blocks = [*_products(m, w[at:end] if s == 0 else np.ones(end - at), called), (np.array([-2]), np.array([-2]), np.array([float(end - at)]))]
+                        i, j, v = (np.concatenate(c) for c in zip(*blocks))
+                        ks = [pa.array(np.full(len(i), c[at]), t) for c, t in zip(key, types)]
+                        yield pa.RecordBatch.from_arrays([*ks, pa.array(np.full(len(i), s), pa.int32()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(v)], names=names)
+                    at = end
+
+    out = rows.mapInArrow(run, ", ".join([*kinds, "s int", "p long", "q long", "value double"]))
+    return out.groupBy(*by, "s", "p", "q").agg(F.sum("value").alias("value"))
+
+
+def load(entries: pd.DataFrame | pa.Table, n_params: int) -> Quadratic:
     """A Gram from its entries on the driver; refuses models above ``MOST_PARAMS``."""
     if n_params > MOST_PARAMS:
         raise ValueError(f"more than {MOST_PARAMS} parameters")
-    g, h, q, n = np.zeros((n_params, n_params)), np.zeros(n_params), 0.0, 0
-    for p, r, v in zip(entries["p"], entries["q"], entries["value"]):
-        if p == -2:
-            n += int(round(v))
-        elif p == -1 and r == -1:
-            q += v
-        elif p == -1:
-            h[r] += v
-        else:
-            g[p, r] += v
-            if p != r:
-                g[r, p] += v
-    return Gram(g, h, q, n)
-
-
-def fetch(entries: DataFrame, n_params: int, by: str | None = None) -> Gram | dict[int, Gram]:
-    """The Gram of all rows, or one for each value of ``by``; the entries are as many as parameter pairs that meet."""
-    pdf = entries.toPandas()
-    if by is None:
-        return load(pdf, n_params)
-    return {int(k): load(g, n_params) for k, g in pdf.groupby(by)}
+    p, q, v = (np.asarray(entries[c], dtype=t) for c, t in (("p", np.int64), ("q", np.int64), ("value", np.float64)))
+    n, square = int(round(v[p == -2].sum())), float(v[(p == -1) & (q == -1)].sum())
+    cross, pair = (p == -1) & (q >= 0), p >= 0
+    h = np.bincount(q[cross], v[cross], minlength=n_params)
+    i, j, v = p[pair], q[pair], v[pair]
+    if n_params > DENSE:
+        return SparseGram(i, j, v, h, square, n)
+    g = np.zeros((n_params, n_params))
+    np.add.at(g, (i, j), v)
+    return Gram(g + np.triu(g, 1).T, h, square, n)
+
+
+def bounded(entries: DataFrame, n_params: int) -> DataFrame:
+    """``entries``, staged and counted: refused before anything is collected if there are too many."""
+    if n_params > MOST_PARAMS:
+        raise ValueError(f"more than {MOST_PARAMS} parameters")
+    kept = Scratch(entries.sparkSession, "gram").stage(entries)
+    n = kept.count()
+    if n > MOST_ENTRIES:
+        raise ValueError(f"{n} pairs of parameters meet, more than {MOST_ENTRIES}")
+    return kept
 
 
-def total(parts: list[Gram]) -> Gram:
-    out = Gram(sum(p.g for p in parts), sum(p.h for p in parts), sum(p.q for p in parts), sum(p.n for p in parts))
-    out.blocks = list(parts)
-    return out
+def fetch(entries: DataFrame, n_params: int, by: str | None = None) -> Quadratic | dict[int, Quadratic]:
+    """The weighted Gram of all rows, or one for each value of ``by``."""
+    t = bounded(entries.where("s = 0"), n_params).toArrow()
+    if by is None:
+        return load(t, n_params)
+    k = t[by].to_numpy()
+    return {int(x): load(t.filter(pa.array(k == x)), n_params) for x in np.unique(k)}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def sparse_truth(scores: DataFrame, targets: dict[int, float], fraction: float, seed: int) -> DataFrame:
@@ -22,22 +24,29 @@ def sparse_truth(scores: DataFrame, targets: dict[int, float], fraction: float,
         raise ValueError(f"contexts without positive scores: {missing}")
     take = {k: max(1, int(np.floor(fraction * n[k]))) for k in wanted}
     lit = lambda d, t: F.element_at(F.create_map(*[x for k, v in d.items() for x in (F.lit(k).cast("long"), F.lit(v).cast(t))]), F.col("mechanism_idx").cast("long"))
-    h = pos.withColumn("_h", F.xxhash64(F.lit(seed), "mechanism_idx", "variant_idx"))
+    h = pos.withColumn("_h", (uniform(seed, "mechanism_idx", "variant_idx") * (1 << 48)).cast("long"))
     order = ["_h", "variant_idx"]
-    q = h.groupBy("mechanism_idx", F.shiftright("_h", 48).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
+    q = h.groupBy("mechanism_idx", F.shiftright("_h", 32).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
     run = F.sum("c").over(W.partitionBy("mechanism_idx").orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     bins = q.withColumn("run", run).withColumn("take", lit(take, "long")).where((F.col("run") - F.col("c")) < F.col("take"))
     edge = bins.withColumn("inner", F.col("run") <= F.col("take")).withColumn("left", F.col("take") - (F.col("run") - F.col("c"))).select("mechanism_idx", "_b", "inner", "left")
-    h = h.withColumn("_b", F.shiftright("_h", 48)).join(edge, ["mechanism_idx", "_b"])
+    h = h.withColumn("_b", F.shiftright("_h", 32)).join(edge, ["mechanism_idx", "_b"])
     h = h.withColumn("_r", F.row_number().over(W.partitionBy("mechanism_idx", "_b").orderBy(*order))).where(F.col("inner") | (F.col("_r") <= F.col("left")))
     total = h.groupBy("mechanism_idx").agg(F.sum("value").alias("total"))
     h = h.join(F.broadcast(total), "mechanism_idx")
     return h.groupBy("variant_idx").agg(F.sum(lit(targets, "double") * F.col("value") / F.col("total")).alias("direct_h2"))
 
 
-def noncentral_chisq(nonc: str, seed: int):
-    """A draw with one degree of freedom: a shifted normal, squared."""
-    z = F.randn(seed) + F.sqrt(F.greatest(F.col(nonc), F.lit(0.0)))
+def uniform(seed: int, *key: str | Column) -> Column:
+    """A number in (0, 1) from the leading 48 bits of a hash of the key, the same wherever the row lies."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key])
+    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def noncentral_chisq(nonc: str, seed: int, key: list[str]) -> Column:
+    """A draw with one degree of freedom: a shifted normal, squared; the draw of a row depends on its key alone."""
+    normal = F.sqrt(-2 * F.log(uniform(seed, F.lit("a"), *key))) * F.cos(2 * math.pi * uniform(seed, F.lit("b"), *key))
+    z = normal + F.sqrt(F.greatest(F.col(nonc), F.lit(0.0)))
     return z * z
 
 

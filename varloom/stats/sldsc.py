@@ -25,9 +25,11 @@ class Regression:
         return asdict(self)
 
 
-def design(matrix: DataFrame, scores: DataFrame, gwas: DataFrame, contexts: list[int], n: str | float = "n") -> DataFrame:
+def design(matrix: DataFrame, scores: DataFrame, gwas: DataFrame, contexts: list[int], n: str | float = "n", totals: bool = False) -> DataFrame:
     """``variant_idx, x0.., y, w[, chrom]``: N times every context's LD score and, last, N times the residual LD score.
 
+    With ``totals`` also ``_s0..``, the contexts' own scores.
+
     ``scores`` is ``variant_idx, mechanism_idx, value``; ``gwas`` has ``variant_idx, chisq`` and
     maybe ``chrom`` and ``n``. Variants without a finite chi-square or sample size are left out.
     """
@@ -37,8 +39,14 @@ def design(matrix: DataFrame, scores: DataFrame, gwas: DataFrame, contexts: list
     c = F.col("chisq")
     g = gwas.where(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) & size.isNotNull())
     x = g.join(ld_score(matrix).withColumnRenamed("row_idx", "variant_idx"), "variant_idx").join(wide.withColumnRenamed("row_idx", "variant_idx"), "variant_idx", "left")
+    if totals:
+        own = s.groupBy("variant_idx").agg(F.map_from_entries(F.collect_list(F.struct("mechanism_idx", "value"))).alias("_t"))  # one entry a context
+        x = x.join(own, "variant_idx", "left")
+    x = x.withColumns({f"_s{i}": F.coalesce(F.col("_t").getItem(k), F.lit(0.0)) for i, k in enumerate(contexts)}) if totals else x
     cols = [(size * F.coalesce(F.col(str(k)), F.lit(0.0))).alias(f"x{i}") for i, k in enumerate(contexts)] + [(size * F.col("ld_score")).alias(f"x{len(contexts)}")]
     keep = ["variant_idx"] + (["chrom"] if "chrom" in gwas.columns else [])
+    if totals:
+        keep += [f"_s{i}" for i in range(len(contexts))]
     return x.select(*keep, *cols, (c - 1).alias("y"), regression_weight(c).alias("w"))
 
 
@@ -73,12 +81,12 @@ def solve(cells: pd.DataFrame, names: list[str], totals: list[float], n_variants
 
 def fit(matrix: DataFrame, scores: DataFrame, gwas: DataFrame, contexts: list[int], names: list[str], n: str | float = "n") -> dict[str, Regression]:
     """A model of each context alone and one of all together, from a single Gram."""
-    x = design(matrix, scores, gwas, contexts, n)
-    cells = normal_equations(x, [f"x{i}" for i in range(len(contexts) + 1)], "y", "w").toPandas()
-    tot = {r["mechanism_idx"]: r["t"] for r in scores.join(x.select("variant_idx"), "variant_idx", "left_semi").groupBy("mechanism_idx").agg(F.sum("value").alias("t")).collect()}
-    totals = [float(tot.get(c, 0.0)) for c in contexts]
+    x = design(matrix, scores, gwas, contexts, n, totals=True)
+    sums = [F.sum(f"_s{i}").alias(f"t{i}") for i in range(len(contexts))]
+    # one evaluation of the design: cells, totals and the count come out of the same aggregate
+    got = normal_equations(x, [f"x{i}" for i in range(len(contexts) + 1)], "y", "w", more=[*sums, F.count(F.lit(1)).alias("rows")]).toPandas()
+    cells, totals, rows = got, [float(got[f"t{i}"].iloc[0] or 0.0) for i in range(len(contexts))], int(got["rows"].iloc[0])
     every = [*names, "residual_ld_score"]
-    rows = x.count()
     out = {nm: solve(cells, every, totals, rows, [i]) for i, nm in enumerate(names)}
     return out | {"joint": solve(cells, every, totals, rows)}
 
