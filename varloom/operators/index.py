@@ -13,7 +13,7 @@ def dense_index(df: DataFrame, order: list[Column], out: str, scratch: Scratch |
     Rows are range-partitioned and written, so that a task run again sees the same rows; each
     partition numbers its own rows, and the partitions' offsets (one row a partition) are added.
     """
-    scratch = scratch or Scratch(df.sparkSession, "index")
+    scratch = scratch or Scratch(df.sparkSession, "index")  # its table goes when the application ends
     kept = scratch.stage(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
     offsets = kept.groupBy("_p").count().select("_p", F.coalesce(before, F.lit(0)).alias("_o"))

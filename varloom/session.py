@@ -55,18 +55,26 @@ class Scratch:
     """Tables written between the rounds of an iterative plan.
 
     ``stage`` cuts the lineage: the rows go to Parquet in the shared folder and are read back, so a
-    lost executor costs one task and file statistics feed the join planner. ``drop`` removes a table
-    that no later round reads.
+    lost executor costs one task and file statistics feed the join planner. ``close`` removes all
+    tables but those that the result still reads; these go when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str = "stage"):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/varloom/{label}-{uuid.uuid4().hex}"
-        self._n = 0
+        self.paths: list[str] = []
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def stage(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n}"
+        path = f"{self.root}/{len(self.paths) + 1}"
+        if not self.paths:
+            fs, root = self._fs(self.root)
+            fs.mkdirs(root)
+            fs.deleteOnExit(root)
+        self.paths.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
@@ -75,9 +83,17 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
+    def close(self, *keep: DataFrame | None) -> None:
+        """Remove every table but ``keep``; no plan that is still to run may read the others."""
+        kept = {getattr(df, "_scratch_path", None) for df in keep}
+        for path in self.paths:
+            if path not in kept:
+                fs, p = self._fs(path)
+                fs.delete(p, True)
+        self.paths = [p for p in self.paths if p in kept]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
