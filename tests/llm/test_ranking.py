@@ -9,7 +9,7 @@ from varloom.llm.components import connected_components, local_minima
 from varloom.llm.cutoff import cutoffs, keep_fraction
 from varloom.llm.splits import assign_splits, balanced_bins, broken_families, deal, families, with_untied
 from varloom.llm.topn import top_n
-from varloom.llm import components, cutoff, queries
+from varloom.llm import cutoff, queries
 from varloom.session import Scratch
 
 import numpy as np
@@ -72,11 +72,12 @@ def test_components(spark, name, edges, chunk):
     assert len(rows) == len(want) and {r.id: r.group_idx for r in rows} == want
 
 
-def test_components_without_peeling_to_the_end(spark, monkeypatch):
-    monkeypatch.setattr(components, "STEPS", 2)
-    edges = [(i, i + 1) for i in range(60)]
+@pytest.mark.parametrize("steps", [1, 2, 40])
+def test_components_without_peeling_to_the_end(spark, steps):
+    edges = [(i, i + 1) for i in range(60)] + [(30, 100 + i) for i in range(9)] + [(70, 71)]
     df = spark.createDataFrame(edges, "a long, b long")
-    assert {r.group_idx for r in connected_components(df, "a", "b", 1).collect()} == {0}
+    rows = connected_components(df, "a", "b", 1, thin=0.0, steps=steps).collect()
+    assert len(rows) == 72 and {r.id: r.group_idx for r in rows} == union_find(edges)
     assert connected_components(df.limit(0), "a", "b").count() == 0
 
 

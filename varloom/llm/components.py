@@ -1,27 +1,27 @@
 """One group identifier for every record that pairwise matches link, directly or indirectly.
 
-Three phases, each exact on what it is given:
-
-1. *Contraction within tasks.* Edges are range-partitioned by both ends, and every Arrow chunk
-   replaces its edges by a star to the smallest vertex of each of its local components. Paths of
-   neighbouring identifiers (a window of a chromosome holds paths of thousands of links) shrink to
-   one link, which the breadth-first joins of phase 2 could only walk link by link.
-2. *Peeling.* Frontier breadth-first joins from the vertex of highest degree collect the giant
-   component. What is reached is collapsed into one vertex and its inner edges are anti-joined
-   away. The walk ends when the frontier is empty, or when it has shrunk to a thin path, whose rest
-   phase 3 resolves.
-3. *Minimum propagation* over the rest: every vertex takes the smallest label among its neighbours,
-   chains of labels are shortened by pointer jumping, edges are rewritten to the labels and
-   repeated until none is left.
+Two phases, each exact on what it is given:
+
+1. *Peeling.* Frontier breadth-first joins from the vertex of highest degree collect the giant
+   component, whose vertices take its minimum as their label; its edges are anti-joined away. The walk
+   ends when the frontier is empty. It also ends when the frontier has thinned out to paths (or after
+   ``STEPS`` joins), since a path advances one link a join: then the edges that leave what was reached
+   lead to its label, and the second phase finds the rest of the component.
+2. *Minimum propagation* over the rest. Tasks first propagate minima to the end among the edges they
+   hold (range-partitioned by both ends, in chunks of bounded size), which shortens paths of
+   neighbouring identifiers from thousands of links to a few. Then, until no edge is left, every vertex
+   takes the smallest label among its neighbours, chains of labels are shortened by pointer jumping,
+   and edges are rewritten to the labels.
 
 A vertex's label is always the smallest vertex of what it stands for, so the final label is the
-component's minimum. Nothing but row counts reaches the driver; every round's tables are written to
-the shared folder.
+component's minimum. Nothing but row counts and one vertex reach the driver; every round's tables are
+written to the shared folder and removed when no longer read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import Scratch
 
-#: Edges that one chunk of phase 1 holds in memory.
+#: Edges among which a task propagates minima at once.
 CHUNK = 1_000_000
-#: Phase 2 stops when a frontier is smaller than this share of what is already reached, or after so many steps.
+#: The walk of phase 1 stops when a frontier is smaller than this share of what is already reached, or after so many joins.
 THIN, STEPS = 0.05, 12
 
 
@@ -101,27 +101,49 @@ def _rewrite(edges: DataFrame, hop: DataFrame) -> DataFrame:
     return e.where("u != v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct()
 
 
-def _peel(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
-    """``id, to`` of the vertices reached from the one of highest degree, ``to`` being their minimum."""
-    both = scratch.stage(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    top = both.groupBy("u").count().agg(F.max_by("u", F.struct("count", -F.col("u"))).alias("u")).where("u is not null")
-    frontier = reached = scratch.stage(top)
-    total = 1
-    for _ in range(STEPS):
-        nxt = both.join(frontier, "u", "left_semi").select(F.col("v").alias("u")).distinct().join(reached, "u", "left_anti")
-        frontier = scratch.stage(nxt)
+def _peel(scratch: Scratch, edges: DataFrame, thin: float, steps: int) -> tuple[DataFrame, bool] | None:
+    """``id, to`` of the vertices reached from the one of highest degree, ``to`` being their minimum, and whether the walk came to its end."""
+    degree = edges.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").count()
+    top = degree.agg(F.max_by("u", F.struct("count", -F.col("u"))).alias("u")).where("u is not null")
+    frontier = scratch.stage(top)
+    reached, total, ended = [frontier], 1, False
+    for _ in range(steps):
+        # both directions of an edge, without a copy of the table
+        down = edges.join(frontier, "u", "left_semi").select(F.col("v").alias("u"))
+        up = edges.join(frontier.withColumnRenamed("u", "v"), "v", "left_semi").select("u")
+        seen = reached[-1] if len(reached) == 1 else reached[-1].union(reached[-2])  # neighbours lie no further back
+        frontier = scratch.stage(down.union(up).distinct().join(seen, "u", "left_anti"))
         n = frontier.count()
-        reached = reached.union(frontier)
+        ended = n == 0
+        if ended:
+            break
+        reached.append(frontier)
         total += n
-        if n == 0 or n < THIN * total:
+        if n < thin * total:
             break
     if total < 2:
         return None
-    low = reached.agg(F.min("u")).first()[0]
-    return scratch.stage(reached.where(F.col("u") != low).select(F.col("u").alias("id"), F.lit(low).cast("long").alias("to")))
-
-
-def connected_components(pairs: DataFrame, a: str, b: str, chunk: int = CHUNK) -> DataFrame:
+    everything = reduce(DataFrame.union, reached)
+    low = everything.agg(F.min("u")).first()[0]
+    return scratch.stage(everything.select(F.col("u").alias("id"), F.lit(low).cast("long").alias("to"))), ended
+
+
+def _without(edges: DataFrame, peeled: DataFrame, ended: bool) -> DataFrame:
+    """The edges with no end in the peeled part and, where the walk did not come to its end, those that lead out of it, to its label."""
+    ids = peeled.select(F.col("id").alias("u"))
+    by_v = ids.withColumnRenamed("u", "v")
+    outside = edges.join(ids, "u", "left_anti")
+    rest = outside.join(by_v, "v", "left_anti").select("u", "v")
+    if ended:
+        return rest
+    low = peeled.select(F.col("to").alias("x")).limit(1)
+    leaves = outside.join(by_v, "v", "left_semi").select(F.col("u").alias("y"))
+    leaves = leaves.union(edges.join(ids, "u", "left_semi").join(by_v, "v", "left_anti").select(F.col("v").alias("y"))).distinct()
+    x = leaves.join(F.broadcast(low), F.lit(True))  # a single row
+    return rest.union(x.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
+
+
+def connected_components(pairs: DataFrame, a: str, b: str, chunk: int = CHUNK, thin: float = THIN, steps: int = STEPS) -> DataFrame:
     """``group_idx, id``: every vertex with a link, and the smallest vertex linked to it by any path.
 
     ``pairs`` may hold either or both directions, repeats, self-links and nulls; self-links and pairs
@@ -131,23 +153,23 @@ def connected_components(pairs: DataFrame, a: str, b: str, chunk: int = CHUNK) -
     spark = pairs.sparkSession
     scratch = Scratch(spark, "components")
     raw = pairs.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x != y")
-    first = raw.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    # ranges of both ends: a vertex of very high degree spreads over many tasks
-    first = first.repartitionByRange("u", "v").sortWithinPartitions("u", "v")
-    stars = scratch.stage(first.mapInArrow(lambda batches: _contract(batches, chunk), "u long, v long"))
-    maps = []
-    # the vertices, before anything is contracted: each is its own label or hangs on a star
-    verts = stars.select(F.col("u").alias("id")).union(stars.select(F.col("v").alias("id"))).distinct()
-    edges = scratch.stage(stars.distinct())
-    if (hop := _peel(scratch, edges)) is not None:
+    edges = scratch.stage(raw.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    maps, verts = [], []
+    if (peeled := _peel(scratch, edges, thin, steps)) is not None:
+        hop, ended = peeled
         maps.append(hop)
-        edges = scratch.stage(_rewrite(edges, hop))
+        verts.append(hop.select("id"))
+        edges = _without(edges, hop, ended)
+    # ranges of both ends: a vertex of very high degree spreads over many tasks
+    first = edges.repartitionByRange("u", "v").sortWithinPartitions("u", "v")
+    stars = scratch.stage(first.mapInArrow(lambda batches: _contract(batches, chunk), "u long, v long").distinct())
+    verts += [stars.select(F.col("u").alias("id")), stars.select(F.col("v").alias("id"))]
+    edges = stars
     while not edges.isEmpty():
         # u > v in every row, so the smallest neighbour below u hooks it
         hop = _jump(scratch, scratch.stage(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("to"))))
         maps.append(hop)
-        old, edges = edges, scratch.stage(_rewrite(edges, hop))
-        scratch.drop(old)
+        edges = scratch.stage(_rewrite(edges, hop))
     # the last round's labels are final; earlier rounds' labels are looked up in them, back to front
     final = None
     for hop in reversed(maps):
@@ -155,7 +177,9 @@ def connected_components(pairs: DataFrame, a: str, b: str, chunk: int = CHUNK) -
             final = hop
         else:
             f = final.select(F.col("id").alias("to"), F.col("to").alias("end"))
-            final = scratch.stage(hop.join(f, "to", "left").select("id", F.coalesce("end", "to").alias("to")).union(final))
+            final = scratch.stage(hop.join(f, "to", "left").select("id", F.coalesce("end", "to").alias("to")).union(final.join(hop, "id", "left_anti")))
     if final is None:
         return spark.createDataFrame([], "group_idx long, id long")
-    return verts.join(final, "id", "left").select(F.coalesce("to", "id").alias("group_idx"), "id")
+    out = scratch.stage(reduce(DataFrame.union, verts).distinct().join(final, "id", "left").select(F.coalesce("to", "id").alias("group_idx"), "id"))
+    scratch.close(out)
+    return out

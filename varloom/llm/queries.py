@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import table
 from . import sql
@@ -22,14 +22,32 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "analysis", "rank", F.col("item").alias("ensembl"))
 
 
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "annotation_triples")
+    return assign_splits(with_untied(families(t), t), "family_idx", SHARES)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return broken_families(families(table(spark, d, "annotation_triples")), table(spark, d, "cv_folds"))
+    """Members of the families, as they were put into splits, whose stored folds part them."""
+    return broken_families(_splits(spark, d), table(spark, d, "cv_folds"))
 
 
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     """Every variant and gene with its family and split; one that no row ties to another is a family of its own."""
-    t = table(spark, d, "annotation_triples")
-    return assign_splits(with_untied(families(t), t), "family_idx", SHARES)
+    return _splits(spark, d).drop("bin")
+
+
+def p2_bins(spark: SparkSession, d: str) -> DataFrame:
+    """What the bins must keep: members and families, families in more than one split or bin, and whether each split is within the heaviest bin of its share."""
+    s = _splits(spark, d)
+    fam = s.groupBy("family_idx").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("splits"), F.countDistinct("bin").alias("bins"))
+    fam = fam.agg(F.sum("n").alias("n_members"), F.count(F.lit(1)).alias("n_families"), F.count_if(F.col("splits") > 1).alias("n_parted"), F.count_if(F.col("bins") > 1).alias("n_torn"))
+    bins = s.groupBy("bin", "split").agg(F.count(F.lit(1)).alias("w"))
+    sizes = bins.groupBy("split").agg(F.sum("w").alias("w"), F.max("w").alias("top"))
+    share = F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv])[F.col("split")]
+    whole = W.partitionBy()  # three rows
+    near = sizes.select((F.abs(F.col("w") - share * F.sum("w").over(whole)) <= F.max("top").over(whole)).alias("near"))
+    return fam.join(F.broadcast(near.agg(F.count(F.lit(1)).alias("n_splits"), F.count_if("near").alias("n_near"))), F.lit(True))  # one row each
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +100,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p2_bins": p2_bins,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_cutoffs": p6_cutoffs,

