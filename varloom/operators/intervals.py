@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import Scratch
+
 #: Width of a tile. An entity has at most this many distinct starts in one tile.
 TILE = 1 << 20
 
@@ -40,6 +42,8 @@ def _rows(df: DataFrame, entity: list[str | Column], start: str | Column, end: s
         .groupBy("k", "tile", "island")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
     )
+    scratch = Scratch(df.sparkSession, "periods")
+    local = scratch.stage(local)  # read twice below, made once
     # per tile, what earlier tiles hand over: the furthest end, and the start of the last island that began
     earlier = W.partitionBy("k").orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
     hand = (
