@@ -39,6 +39,33 @@ def test_layouts(spark, tmp_path):
     assert len(out) == 1 and out[0].beta == pytest.approx(np.log(2)) and out[0].n == pytest.approx(4 * 34933 * 31009 / (34933 + 31009)) and out[0].a1 == "A"
 
 
+def test_studies(spark, tmp_path):
+    p = put(tmp_path / "pd.txt", "chromosome base_pair_position SNP_ID effect_allele other_allele effect_allele_frequency n_datasets p_value beta standard_error p_value(random) beta(random) I\n1 100 rs1 A G 0.2 10 0.1 0.25 0.05 0.1 0.25 0\n")
+    blocks = spark.createDataFrame([(1, 0, 1000, 1, 10, True)], "chrom int, start long, end long, to_chrom int, to_start long, forward boolean")
+    n = 4 * 34933 * 31009 / (34933 + 31009)
+    m = gwas.prepare_study(gwas.read_delimited(spark, p, "whitespace"), gwas.layout("pd", n), str(tmp_path / "pd"), blocks)
+    (r,) = spark.read.csv(str(tmp_path / "pd/table"), sep="\t", header=True).collect()
+    assert (r.CHR, r.BP, r.SNP) == ("1", "110", "rs1") and float(r.N) == pytest.approx(n) and m["output_records"] == 1 and m["unmapped_records"] == 0 and m["sample_size_source"] == "study"
+    x = spark.createDataFrame([("chr1", "5", "", "v1", "a", "g", "0.1", "0.2", "10", "4", "6"), ("X", "5", "r", "v", "a", "g", "0.1", "0.2", "10", "4", "6")], "chromosome string, base_pair_location string, rs_id string, variant_id string, effect_allele string, other_allele string, beta string, standard_error string, Neff_total string, N_cases string, N_controls string")
+    (r,) = gwas.apply_layout(x, gwas.layout("exchange")).collect()
+    assert (r.snp, r.n, r.n_cases, r.n_controls) == ("v1", 10, 4, 6)
+    with pytest.raises(ValueError):
+        gwas.prepare_study(x.where("chromosome = 'X'"), gwas.layout("exchange"), str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        gwas.apply_layout(x.drop("beta"), gwas.layout("exchange"))
+
+
+def test_fold_cache(spark, tmp_path):
+    f = spark.createDataFrame([(0, 0, 0), (1, 1, -1), (2, 2, 2), (3, 0, 0)], "variant_idx long, cv_groups int, cv_score_groups int")
+    c = sinks.FoldCache(str(tmp_path / "arrays"), 10, 0.01)
+    assert c.files.folder.endswith("arrays.cv10.r2ge0.01") and c.get(spark, 4) is None
+    c.put(f, {"a": 1})
+    got, meta = sinks.FoldCache(str(tmp_path / "arrays"), 10, 0.01).get(spark, 4)
+    assert sorted(got.collect()) == sorted(f.collect()) and meta == {"a": 1} and c.get(spark, 5) is None
+    c.files.write("metadata.json", b"{not json")
+    assert c.get(spark, 4) is None
+
+
 def test_interval_gene_marker_and_link_tables(spark, tmp_path):
     bed = tables.read_bed(spark, put(tmp_path / "a.bed", "chr1\t99\t101\tx\nchr1\t149\t201\nchrX\t1\t2\nchr1\t5\t5\nchr1\tq\t9\nchr2\n"))
     assert sorted(tuple(r) for r in bed.collect()) == [(1, 99, 101), (1, 149, 201)]
@@ -103,8 +130,6 @@ def test_sinks(spark, tmp_path):
     (f,) = list((tmp_path / "annot" / "part=1").glob("*.gz"))
     assert gzip.open(f, "rt").read().splitlines() == ["CHR\tBP\tSNP\tCM\ta", "1\t200\trs2\t0.0\t0.0", "1\t100\trs1\t0.0\t0.5"]
     ld = spark.createDataFrame([(1, "rs1", 100, 2.75), (1, "rs2", 200, 3.5)], "CHR int, SNP string, BP long, L2 double")
-    sinks.write_ldscores(ld, str(tmp_path / "ld"))
-    assert spark.read.csv(str(tmp_path / "ld/m"), sep="\t", header=True).first().L2 == "6.25"
     sinks.write_sumstats(ld.select("SNP", F.lit("A").alias("A1"), F.lit("C").alias("A2"), F.lit(5).alias("N"), F.col("L2").alias("Z")), str(tmp_path / "ss"), True)
     assert spark.read.csv(str(tmp_path / "ss"), sep="\t", header=True).columns == ["SNP", "A1", "A2", "N", "Z"]
     sinks.write_json(str(tmp_path / "m.json"), {"a": float("nan"), 2: np.int64(3)})

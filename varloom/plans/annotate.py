@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import annotation_value, keeps_self_promoter, member, variant_id
 from ..operators.index import dense_index
 from ..operators.joins import band_join, first_per, range_join
+from ..sources.tables import LINE
 
 
 @dataclass
@@ -29,20 +30,27 @@ def number_variants(gwas: DataFrame) -> DataFrame:
     return dense_index(v, [F.col("chrom"), F.col("pos")], "variant_idx")
 
 
-def _finish(variants: DataFrame, hits: DataFrame, genes: DataFrame, mechanisms: list[str], intercept: bool) -> Annotation:
-    """``hits`` is ``variant_idx, gene, mechanism, value``; ``genes`` is ``gene``. The largest value of a key counts."""
+def _finish(variants: DataFrame, hits: DataFrame, genes: DataFrame, mechanisms: list[str], intercept: bool, order: list[str] | None = None) -> Annotation:
+    """``hits`` is ``variant_idx, gene, mechanism, value``; ``genes`` has ``gene``. The largest value of a key counts.
+
+    Genes are numbered by name, or by their first row in the order of some columns of ``genes``.
+    """
     names = (["intercept"] if intercept else []) + [m for m in mechanisms if m != "intercept"]
     if intercept:
         both = F.array(F.struct(F.col("mechanism").alias("m"), F.col("value").alias("v")), F.struct(F.lit("intercept").alias("m"), F.lit(1.0).alias("v")))
         hits = hits.select("variant_idx", "gene", F.explode(both).alias("r")).select("variant_idx", "gene", F.col("r.m").alias("mechanism"), F.col("r.v").alias("value"))
-    g = dense_index(genes.select("gene").distinct(), [F.col("gene")], "gene_idx")
+    first = genes.groupBy("gene").agg(F.min(F.struct(*order)).alias("_f")) if order else genes.select("gene").distinct()
+    g = dense_index(first, ([F.col("_f")] if order else []) + [F.col("gene")], "gene_idx").select("gene", "gene_idx")
     at = F.create_map(*[x for i, m in enumerate(names) for x in (F.lit(m), F.lit(i))])
     t = hits.where(F.col("mechanism").isin(names)).join(g, "gene").groupBy("variant_idx", "gene_idx", at[F.col("mechanism")].alias("mechanism_idx")).agg(F.max("value").alias("value"))
     return Annotation(variants, g, names, t)
 
 
 def from_links(links: DataFrame, gwas: DataFrame, min_score: float = 0.015, cell_types: list[str] | str | None = None, exclude_self_promoter: bool = False, intercept: bool = True) -> Annotation:
-    """Variants inside scored links. Genes without a variant keep their number; no overlap at all is an error."""
+    """Variants inside scored links. Genes without a variant keep their number; no overlap at all is an error.
+
+    Links that were read with their places number genes and cell types as the file first shows them, on the variants' chromosomes.
+    """
     v = number_variants(gwas)
     x = links.where((F.col("score") >= min_score) & member("cell_type", cell_types))
     if exclude_self_promoter:
@@ -50,8 +58,11 @@ def from_links(links: DataFrame, gwas: DataFrame, min_score: float = 0.015, cell
     hits = range_join(v.select("variant_idx", "chrom", "pos"), x, ["chrom"], "pos", "start", "end").select("variant_idx", "gene", F.col("cell_type").alias("mechanism"), F.col("score").alias("value"))
     if hits.isEmpty():
         raise ValueError("no variant lies in a link")
-    cells = sorted(r[0] for r in x.select("cell_type").distinct().collect())
-    return _finish(v, hits, x, cells, intercept)
+    order = LINE if set(LINE) <= set(links.columns) else None
+    if order:
+        x = x.join(v.select("chrom").distinct(), "chrom", "left_semi")
+    seen = x.groupBy("cell_type").agg(F.min(F.struct(*(order or ["cell_type"]))).alias("f")).collect()  # the cell types
+    return _finish(v, hits, x, [r["cell_type"] for r in sorted(seen, key=lambda r: tuple(r["f"]))], intercept, order)
 
 
 def peak_contexts(variants: DataFrame, peaks: DataFrame, contexts: list[str]) -> DataFrame:
@@ -72,10 +83,11 @@ def from_peaks_and_genes(peaks: DataFrame, tss: DataFrame, gwas: DataFrame, cont
 
 
 def from_predicted(links: DataFrame, gwas: DataFrame, contexts: list[str], min_score: float = 0.9, intercept: bool = True) -> Annotation:
-    """Predicted position-gene links (``chrom, pos, gene, mechanism, score``); only genes that match a variant are kept."""
+    """Predicted position-gene links (``chrom, pos, gene, mechanism, score``); only genes that match a variant are kept, numbered by their first chromosome, then by name."""
     v = number_variants(gwas)
-    hits = links.where(F.col("score") >= min_score).join(v.select("variant_idx", "chrom", "pos"), ["chrom", "pos"]).select("variant_idx", "gene", "mechanism", F.col("score").cast("double").alias("value"))
-    return _finish(v, hits, hits, contexts, intercept)
+    hits = links.where(F.col("score") >= min_score).where(F.col("mechanism").isin(contexts)).join(v.select("variant_idx", "chrom", "pos"), ["chrom", "pos"])
+    hits = hits.select("variant_idx", "gene", "mechanism", F.col("score").cast("double").alias("value"), "chrom")
+    return _finish(v, hits.drop("chrom"), hits, contexts, intercept, ["chrom"])
 
 
 def from_associations(assoc: DataFrame, contexts: list[str], value: str = "z2", max_genes: int | None = None, intercept: bool = True) -> Annotation:

@@ -9,8 +9,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalars import autosomal, chrom_number, strip_version
+from ..functions.scalars import autosomal, chrom_number, strip_version, variant_id
+from ..operators.index import dense_index
 from ..operators.joins import assert_unique, first_per
+from ..operators.sparse import squared
+
+
+#: Columns that give the order of a file's lines.
+LINE = ["_file", "_block", "_line"]
+
+
+def lines(df: DataFrame) -> DataFrame:
+    """A file scan with the place of every row: file, start of the split, and row within it. A file of many splits needs no single reader."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
 
 
 def read_bed(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
@@ -36,24 +47,19 @@ def read_tss(spark: SparkSession, path: str, contexts: list[str]) -> DataFrame:
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, snp, cm, pos, a1, a2, bim_row`` in file order (one file, one reader); a repeated marker is an error."""
+    """``chrom, snp, cm, pos, a1, a2, bim_row`` in file order; a repeated marker is an error."""
+    f = F.split(F.trim("value"), r"\s+")
+    x = lines(spark.read.text(path)).where(F.trim("value") != "")
+    x = x.select(f[0].cast("int").alias("chrom"), f[1].alias("snp"), f[2].cast("double").alias("cm"), f[3].cast("long").alias("pos"), f[4].alias("a1"), f[5].alias("a2"), *LINE)
+    return assert_unique(dense_index(x, [F.col(c) for c in LINE], "bim_row").drop(*LINE), ["snp"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t in b["value"]:
-                p = pd.read_csv(io.StringIO(t), sep=r"\s+", header=None, names=["chrom", "snp", "cm", "pos", "a1", "a2"], dtype={"snp": str, "a1": str, "a2": str})
-                p["bim_row"] = range(len(p))
-                yield p
-
-    out = spark.read.text(path, wholetext=True).mapInPandas(run, "chrom int, snp string, cm double, pos long, a1 string, a2 string, bim_row long")
-    return assert_unique(out, ["snp"])
 
-
-def read_links(spark: SparkSession, path: str, score: str = "ABC.Score") -> DataFrame:
-    """``chrom, start, end, gene, score, cell_type, is_self_promoter`` of scored links; a missing flag is null."""
+def read_links(spark: SparkSession, path: str, score: str = "ABC.Score", ordered: bool = False) -> DataFrame:
+    """``chrom, start, end, gene, score, cell_type, is_self_promoter`` of scored links; a missing flag is null. ``ordered`` adds the lines' places."""
     df = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    df = lines(df) if ordered else df
     flag = F.col("isSelfPromoter") if "isSelfPromoter" in df.columns else F.lit(None).cast("string")
-    out = df.select(chrom_number("chr").alias("chrom"), F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), F.col("TargetGene").alias("gene"), F.col(f"`{score}`").try_cast("double").alias("score"), F.col("CellType").alias("cell_type"), flag.alias("is_self_promoter"))
+    out = df.select(chrom_number("chr").alias("chrom"), F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), F.col("TargetGene").alias("gene"), F.col(f"`{score}`").try_cast("double").alias("score"), F.col("CellType").alias("cell_type"), flag.alias("is_self_promoter"), *(LINE if ordered else []))
     return out.where(autosomal("chrom"))
 
 
@@ -66,6 +72,12 @@ def compact_links(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return out
 
 
+def read_source_links(spark: SparkSession, root: str, chrom: int, least: float) -> DataFrame:
+    """``pos, gene, score`` of one chromosome of links partitioned by ``chr`` (``chr=chr1``); partition and probability reach the scan."""
+    df = spark.read.schema("pos long, gene_id string, pred_prob double, chr string").parquet(root)
+    return df.where((F.col("chr") == f"chr{chrom}") & (F.col("pred_prob") >= least)).select("pos", F.col("gene_id").alias("gene"), F.col("pred_prob").alias("score"))
+
+
 def read_predicted(spark: SparkSession, root: str, chrom: int, least: float) -> DataFrame:
     """``pos, gene, mechanism, score`` of one chromosome's partition (the filter reaches the scan); none if it is missing."""
     schema = "pos long, gene string, mechanism string, score float, chrom short"
@@ -80,11 +92,11 @@ def read_predicted(spark: SparkSession, root: str, chrom: int, least: float) ->
 
 
 def read_gtf_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """``ensembl, symbol`` of the gene rows, version stripped; the first row of a gene in the order of its line counts."""
-    t = spark.read.text(path).where(F.get(F.split("value", "\t"), F.lit(2)) == "gene")
-    g = t.select(strip_version(F.regexp_extract("value", r'gene_id "([^"]+)"', 1)).alias("ensembl"), F.regexp_extract("value", r'gene_name "([^"]+)"', 1).alias("symbol"), "value")
+    """``ensembl, symbol`` of the gene rows, version stripped; a gene's first row in the file counts."""
+    t = lines(spark.read.text(path)).where(F.get(F.split("value", "\t"), F.lit(2)) == "gene")
+    g = t.select(strip_version(F.regexp_extract("value", r'gene_id "([^"]+)"', 1)).alias("ensembl"), F.regexp_extract("value", r'gene_name "([^"]+)"', 1).alias("symbol"), *LINE)
     g = g.withColumn("symbol", F.when(F.col("symbol") == "", F.col("ensembl")).otherwise(F.col("symbol")))
-    return first_per(g, ["ensembl"], [F.col("value")]).select("ensembl", "symbol")
+    return first_per(g, ["ensembl"], [F.col(c) for c in LINE]).select("ensembl", "symbol")
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
@@ -99,18 +111,15 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 def read_ld_metadata(spark: SparkSession, path: str) -> DataFrame:
     """``snp, chrom, pos, a1, a2, variant_id, ld_row`` in file order; missing columns are an error."""
     names = {"rsid": "snp", "chromosome": "chrom", "position": "pos", "allele1": "a1", "allele2": "a2"}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t in b["value"]:
-                p = pd.read_csv(io.StringIO(t), sep=r"\s+").rename(columns=names)
-                if missing := {"snp", "chrom", "pos", "a1", "a2"} - set(p.columns):
-                    raise ValueError(f"missing columns: {sorted(missing)}")
-                p["variant_id"] = "chr" + p["chrom"].astype(str) + ":" + p["pos"].astype(str)
-                p["ld_row"] = range(len(p))
-                yield p[["snp", "chrom", "pos", "a1", "a2", "variant_id", "ld_row"]]
-
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "snp string, chrom int, pos long, a1 string, a2 string, variant_id string, ld_row long")
+    text = spark.read.text(path)
+    head = text.first()["value"].split()
+    if missing := set(names) - set(head):
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    f = F.split(F.trim("value"), r"\s+")
+    x = lines(text).where((F.trim("value") != "") & (F.size(f) == len(head)) & (f[head.index("rsid")] != "rsid"))
+    x = x.select(*[f[head.index(c)].cast({"chrom": "int", "pos": "long"}.get(n, "string")).alias(n) for c, n in names.items()], *LINE)
+    out = dense_index(x.withColumn("variant_id", variant_id("chrom", "pos")), [F.col(c) for c in LINE], "ld_row")
+    return out.select("snp", "chrom", "pos", "a1", "a2", "variant_id", "ld_row")
 
 
 def read_npz_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -128,3 +137,11 @@ def read_npz_edges(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"block": p.rsplit("/", 1)[-1].removesuffix(".npz"), "row_idx": rows[i : i + step], "col_idx": idx[i : i + step].astype("int64"), "r": val[i : i + step].astype("float64")})
 
     return files.mapInPandas(run, "block string, row_idx long, col_idx long, r double")
+
+
+def ld_block_edges(edges: DataFrame, meta: DataFrame, chosen: DataFrame, cut: float, n: int | None = None) -> DataFrame:
+    """``row_idx, col_idx, r2`` of the chosen variants (``ld_row, variant_idx``) of a block's correlations, squared, adjusted and cut."""
+    keep = chosen.join(meta.select("ld_row"), "ld_row", "left_semi").select("ld_row", "variant_idx")
+    x = edges.join(keep.select(F.col("ld_row").alias("row_idx"), F.col("variant_idx").alias("_a")), "row_idx")
+    x = x.join(keep.select(F.col("ld_row").alias("col_idx"), F.col("variant_idx").alias("_b")), "col_idx")
+    return squared(x.select(F.col("_a").alias("row_idx"), F.col("_b").alias("col_idx"), "r"), "r", cut, n).select("row_idx", "col_idx", "r2")
