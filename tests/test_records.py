@@ -58,3 +58,15 @@ def test_frames(spark):
     files = spark.createDataFrame([("f", "chr1\t1\t2\t3\nchr1\t1"), ("g", None)], "path string, text string")
     got = sorted((r.path, r.line, r.reason or "ok") for r in parse_files(files, "lifted").collect())
     assert got == [("f", 1, "ok"), ("f", 2, "columns")]
+
+
+def test_rows_of_files_are_read_as_text(spark, monkeypatch):
+    from varloom.sources import records
+
+    rows = [("peaks", "f", 1, '"chr5\t1\t2\ta\t.'), ("peaks", "f", 2, "chr7\t1\t2\tb\t1"), ("peaks", "f", 3, 'chr8\t1\t2\t"two\nlines"\t.'), ("peaks", "f", 4, 'chr9\t5\t9\t"end"\t.'), ("peaks", "f", 5, None), ("peaks", "f", 6, "chr1\t9\t3\tx\t."), ("lifted", "g", 7, "1\t2\t3\t4"), ("other", "h", 1, "1"), (None, "h", 1, "1")]
+    df = spark.createDataFrame(rows, "feed string, file_name string, line_no int, line string")
+    want = [("f", 1, "quoting"), ("f", 2, None), ("f", 3, None), ("f", 5, None), ("f", 7, "value"), ("g", 1, None)]
+    for block in (5_000, 3, 2):
+        got = sorted((r.path, r.line, r.reason) for r in records.parse_lines(df, block=block).collect())
+        assert got == want
+    assert records.parse_lines(df.limit(0)).count() == 0

@@ -102,11 +102,16 @@ def first_appearance_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_priority_global(spark: SparkSession, d: str) -> DataFrame:
-    """Stored folds' variants with a statistic, by marker where any marker matches, else by identifier."""
-    left = table(spark, d, "cv_folds").select(F.col("variant_idx").alias("fold_idx")).distinct().withColumn("m", F.concat(F.lit("none"), "fold_idx"))
-    right = lens.gwas(spark, d).where("z is not null").withColumn("vid", F.col("variant_idx"))
-    joined, key = align_global(left, right.select("markerid", "vid", "loaded_at", "z", "variant_idx"), [("m", "markerid"), ("fold_idx", "vid")], [F.col("loaded_at"), F.col("variant_idx")])
-    return joined.select("fold_idx", F.lit(key).alias("used_key"), "variant_idx")
+    """Stored folds' variants with a statistic: by marker, as any marker matches; and, of identifiers that no marker equals, by the variant."""
+    right = lens.gwas(spark, d).where("z is not null").withColumn("vid", F.col("variant_idx")).select("markerid", "vid", "loaded_at", "z", "variant_idx")
+    names = lens.gwas(spark, d).select(F.col("variant_idx").alias("fold_idx"), F.col("markerid").alias("m"))
+    left = table(spark, d, "cv_folds").select(F.col("variant_idx").alias("fold_idx")).distinct().join(names, "fold_idx")
+    keys, order, out = [("m", "markerid"), ("fold_idx", "vid")], [F.col("loaded_at"), F.col("variant_idx")], None
+    for x in (left, left.withColumn("m", F.concat(F.lit("none"), "fold_idx"))):
+        joined, key = align_global(x, right, keys, order)
+        part = joined.select("fold_idx", F.lit(key).alias("used_key"), "variant_idx")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def align_priority_row(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +146,8 @@ def match_key_enrich(spark: SparkSession, d: str) -> DataFrame:
 
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Links and peaks as one table of intervals; the columns that one side lacks are null."""
-    a = lens.links(spark, d).where("score >= 0.09").select("chrom", "start", "end", "gene")
-    b = lens.peaks(spark, d).where("chrom <= 2").select("chrom", "start", "end", "context")
+    a = lens.links(spark, d).select("chrom", "start", "end", "gene")
+    b = lens.peaks(spark, d).select("chrom", "start", "end", "context")
     u = a.unionByName(b, allowMissingColumns=True)
     return u.groupBy("chrom", "context").agg(F.count(F.lit(1)).alias("n"), F.count("gene").alias("n_gene"), F.sum(F.col("end") - F.col("start")).alias("bases"))
 
@@ -225,7 +230,10 @@ ORACLES = {
       SELECT variant_idx, gene_idx, round(value, 6) AS value FROM x WHERE gene_idx IN (SELECT gene_idx FROM top)""",
     "dense_index": ctes("vv") + " SELECT event_id, row_number() OVER (ORDER BY chrom, pos, event_id) - 1 AS idx FROM v",
     "first_appearance_index": "WITH f AS (SELECT l_returnflag AS flag, l_linestatus AS status, min(row(l_orderkey, l_linenumber, l_partkey)) AS first FROM lineitem GROUP BY ALL) SELECT flag, status, CAST(row_number() OVER (ORDER BY first, flag, status) - 1 AS INT) AS idx FROM f",
-    "align_priority_global": ctes("g") + " SELECT DISTINCT c.variant_idx AS fold_idx, 'fold_idx' AS used_key, g.variant_idx FROM cv_folds c JOIN g USING (variant_idx) WHERE g.z IS NOT NULL",
+    "align_priority_global": ctes("g")
+    + """, c AS (SELECT DISTINCT variant_idx FROM cv_folds), r AS (SELECT *, row_number() OVER (PARTITION BY markerid ORDER BY loaded_at NULLS FIRST, variant_idx) AS k FROM g WHERE z IS NOT NULL AND markerid IS NOT NULL)
+      SELECT c.variant_idx AS fold_idx, 'm' AS used_key, r.variant_idx FROM c JOIN g USING (variant_idx) JOIN r ON g.markerid = r.markerid WHERE r.k = 1
+      UNION ALL SELECT c.variant_idx, 'fold_idx', g.variant_idx FROM c JOIN g USING (variant_idx) WHERE g.z IS NOT NULL""",
     "align_priority_row": """WITH lft AS (SELECT variant_idx, max(markerid) AS markerid, max(variant_id) AS variant_id FROM variants GROUP BY 1),
       k AS (SELECT *, row(loaded_at, variant_idx, n) AS o FROM variants WHERE n IS NOT NULL),
       m AS (SELECT markerid, max_by(n, o) AS n FROM k WHERE markerid IS NOT NULL GROUP BY 1),
@@ -237,7 +245,7 @@ ORACLES = {
       n AS (SELECT key, count(DISTINCT source) AS n_sources FROM k GROUP BY 1)
       SELECT DISTINCT source, key, n_sources FROM k JOIN n USING (key) WHERE analysis = 'global'""",
     "union_by_name": ctes("l", "p")
-    + """, u AS (SELECT chrom, s, e, gene, NULL AS context FROM l WHERE score >= 0.09 UNION ALL SELECT chrom, s, e, NULL, context FROM p WHERE chrom <= 2)
+    + """, u AS (SELECT chrom, s, e, gene, NULL AS context FROM l UNION ALL SELECT chrom, s, e, NULL, context FROM p)
       SELECT chrom, context, count(*) AS n, count(gene) AS n_gene, CAST(sum(e - s) AS BIGINT) AS bases FROM u GROUP BY ALL""",
     "universe_difference": ctes("g", "a")
     + """, s AS (SELECT variant_idx FROM g WHERE z IS NOT NULL), t AS (SELECT DISTINCT variant_idx FROM a)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
 from ..operators import folds as folding, graph, sparse as sp
 from ..operators.joins import first_per
-from ..session import table
+from ..session import Scratch, table
+from ..stats.fit import CheckpointStore, Fit, merge_stores
 from . import lens
 from .lens import ctes
 
@@ -247,13 +249,32 @@ def ld_universe_restrict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Shards of fold scores (the stored rows by score group) merged: folds that miss, and rows of each."""
-    c = table(spark, d, "cv_folds")
-    a = c.where("cv_score_groups >= 0 and cv_score_groups < 5").groupBy(F.col("cv_score_groups").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
-    b = c.where("cv_score_groups >= 5 and cv_score_groups < 9").groupBy(F.col("cv_score_groups").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
-    merged = a.unionByName(b)
-    want = spark.range(10).select(F.col("id").cast("int").alias("fold"))
-    return merged.withColumn("present", F.lit(True)).unionByName(want.join(merged, "fold", "left_anti").select("fold", F.lit(0).cast("long").alias("n"), F.lit(False).alias("present")))
+    """Scores of every fold and context, kept in two shards of folds and merged: their mean over the folds."""
+    n = lens.triples(spark, d).join(_folds(spark, d), "variant_idx").groupBy("fold", "mechanism_idx").agg(F.count(F.lit(1)).alias("n")).collect()  # folds x contexts
+    got = {(r["fold"], r["mechanism_idx"]): float(r["n"]) for r in n}
+    scratch = Scratch(spark, "shards")
+    shards = {f"{scratch.root}/{k}": folds for k, folds in enumerate((range(5), range(5, 10)))}
+    for folder, folds in shards.items():
+        store = CheckpointStore(folder, {"contexts": CONTEXTS})
+        for f in folds:
+            for c in CONTEXTS:
+                store.put(f, float(c), Fit("nuclear", np.zeros((1, 1)), 0.0), got.get((f, c), 0.0))
+    merged = merge_stores(list(shards), list(range(10)), [float(c) for c in CONTEXTS])
+    scratch.remove()
+    return spark.createDataFrame([(int(c), round(v, 6)) for c, v in merged.items()], "mechanism_idx long, score double")
+
+
+def fold_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the greedy folds must keep: all rows and components, none of them parted, every fold in use, and score groups by the rule."""
+    ids = table(spark, d, "variants").select("variant_idx").distinct()
+    c = ld_components(spark, d).select("variant_idx", "component")
+    members = ids.join(c, "variant_idx", "left").select("variant_idx", F.coalesce("component", "variant_idx").alias("component"))
+    links = lens.triples(spark, d).select("variant_idx", "gene_idx").distinct()
+    f = members.join(folding.assign_folds(members, links, 10), "component")
+    whole = f.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds"))
+    a = whole.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("folds") > 1).alias("n_parted"))
+    b = f.agg(F.countDistinct("fold").alias("n_folds"))
+    return a.join(F.broadcast(b), F.lit(True))  # one row each
 
 
 def row_compatibility(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +291,7 @@ QUERIES = {f.__name__: f for f in (
     predicted_links_sum_pivot, context_aggregate_sum, context_aggregate_binary, annotation_mass, row_and_column_mass, context_contributions,
     gene_contribution_rank, cumulative_share_cut, target_overlap_topk, simulation_aggregate, run_report, best_lambda, score_correlation,
     ld_edges, ld_score, ld_block_diagnostics, ld_annotation_score, ld_score_totals, ld_propagate, mediated_prediction, ld_components,
-    ld_component_sizes, ld_size_hist, component_sweep, fold_rows, score_eligibility, ld_universe_restrict, checkpoint_merge, row_compatibility,
+    ld_component_sizes, ld_size_hist, component_sweep, fold_rows, fold_check, score_eligibility, ld_universe_restrict, checkpoint_merge, row_compatibility,
 )}
 
 _B = "b AS (SELECT DISTINCT gene_idx, mechanism_idx, ((gene_idx * 7 + mechanism_idx * 3) % 11) / 100 AS coef FROM a)"
@@ -368,8 +389,10 @@ ORACLES = {
     "ld_universe_restrict": ctes("g")
     + """ SELECT row_number() OVER (ORDER BY chrom, pos, variant_idx) - 1 AS variant_idx, variant_idx AS source_variant_idx FROM g
       WHERE variant_idx IN (SELECT row_idx FROM ld_blocks UNION SELECT col_idx FROM ld_blocks)""",
-    "checkpoint_merge": """WITH m AS (SELECT cv_score_groups AS fold, count(*) AS n, true AS present FROM cv_folds WHERE cv_score_groups BETWEEN 0 AND 8 GROUP BY 1)
-      SELECT * FROM m UNION ALL SELECT CAST(i AS INT), 0, false FROM range(10) t(i) WHERE i NOT IN (SELECT fold FROM m)""",
+    "checkpoint_merge": ctes("a")
+    + f", {_FOLDS}, n AS (SELECT mechanism_idx, count(*) AS n FROM a JOIN f USING (variant_idx) GROUP BY 1) SELECT CAST(k AS BIGINT) AS mechanism_idx, round(coalesce(n, 0) / 10, 6) AS score FROM range(1, 10) t(k) LEFT JOIN n ON n.mechanism_idx = k",
+    "fold_check": f"""WITH RECURSIVE {_components('0.1')}, v AS (SELECT DISTINCT variant_idx FROM variants)
+      SELECT (SELECT count(*) FROM v) AS n_rows, (SELECT count(DISTINCT coalesce(lab.component, v.variant_idx)) FROM v LEFT JOIN lab USING (variant_idx)) AS n_components, CAST(0 AS BIGINT) AS n_parted, CAST(10 AS BIGINT) AS n_folds""",
     "row_compatibility": ctes("g")
     + """, v AS (SELECT chrom, variant_idx FROM g), m AS (SELECT DISTINCT chrom, unnest([row_idx, col_idx]) AS variant_idx FROM ld_blocks),
       a AS (SELECT chrom, count(*) AS missing FROM (SELECT * FROM v EXCEPT ALL SELECT * FROM m) GROUP BY 1), b AS (SELECT chrom, count(*) AS extra FROM (SELECT * FROM m EXCEPT ALL SELECT * FROM v) GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.intervals import autosome, periods_and_gaps
 from ..session import table
-from ..sources.records import parse_records
+from ..sources.records import parse_lines, parse_records
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,13 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     return r.select("record_id", "feed", "chrom", F.col("start").alias("from_pos"), F.col("end").alias("to_pos"), "name", "score", "source_index")
 
 
-QUERIES = {"p3_found": p3_found, "p3_cover": p3_cover, "p5_found": p5_found, "p5_loaded": p5_loaded}
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """The valid records of the feeds' files, each file read as text with resumption at anchors."""
+    r = parse_lines(table(spark, d, "raw_records")).where("reason is null")
+    return r.select(F.col("path").alias("file_name"), "line", "chrom", F.col("start").alias("from_pos"), F.col("end").alias("to_pos"), "name", "score", "source_index")
+
+
+QUERIES = {"p3_found": p3_found, "p3_cover": p3_cover, "p5_found": p5_found, "p5_loaded": p5_loaded, "p5_files": p5_files}
 
 _P3 = """
 WITH x AS (
@@ -93,4 +99,11 @@ ORACLES = {
       CASE WHEN feed = 'peaks' AND c[5] <> '.' THEN CAST(c[5] AS DOUBLE) END AS score,
       CASE feed WHEN 'lifted' THEN CAST(c[4] AS BIGINT) END AS source_index
     FROM parsed WHERE reason IS NULL""",
+    "p5_files": _P5
+    + r""", pl AS (SELECT record_id, file_name, CAST(1 + coalesce(sum(1 + length(coalesce(line, '')) - length(replace(coalesce(line, ''), chr(10), '')))
+        OVER (PARTITION BY feed, file_name ORDER BY line_no, coalesce(line, '') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line FROM raw_records)
+    SELECT file_name, pl.line, CAST(regexp_extract(c[1], '[0-9]+') AS INT) AS chrom, CAST(c[2] AS BIGINT) AS from_pos, CAST(c[3] AS BIGINT) AS to_pos,
+      CASE feed WHEN 'peaks' THEN c[4] END AS name, CASE WHEN feed = 'peaks' AND c[5] <> '.' THEN CAST(c[5] AS DOUBLE) END AS score,
+      CASE feed WHEN 'lifted' THEN CAST(c[4] AS BIGINT) END AS source_index
+    FROM parsed JOIN pl USING (record_id) WHERE reason IS NULL""",
 }

@@ -86,6 +86,12 @@ class Scratch:
             fs, p = self._fs(path)
             fs.delete(p, True)
 
+    def remove(self) -> None:
+        """Remove the whole folder."""
+        fs, p = self._fs(self.root)
+        fs.delete(p, True)
+        self.paths = []
+
     def close(self, *keep: DataFrame | None) -> None:
         """Remove every table but ``keep``; no plan that is still to run may read the others."""
         kept = {getattr(df, "_scratch_path", None) for df in keep}

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 LIMIT = 250_000_000
 LONG_MAX = 2**63 - 1
@@ -170,6 +170,16 @@ class Reader:
                 continue
         return self.n
 
+    def _torn(self, begin: int, f: Fault) -> Fault:
+        """The fault of a record that failed; over several lines of which one is an anchor, the quote that swallowed it is the fault."""
+        end = self.pos
+        if self.whole or f.reason == "quoting" or "\n" not in self.text[begin:end]:
+            return f
+        at = self.anchor(begin)
+        self.pos = end
+        quote = self.text.find('"', begin, at)
+        return Fault("quoting", quote, "a quote is not closed before the next record", begin) if quote >= 0 and at < end else f
+
     def parse(self) -> Iterator[Parsed]:
         line, seen = 1, 0
         while self.pos < self.n:
@@ -183,6 +193,7 @@ class Reader:
             try:
                 yield Parsed(line, self.record())
             except Fault as f:
+                f = self._torn(begin, f)
                 yield Parsed(line, {}, f, f.at - self.text.rfind("\n", 0, f.at) if not self.whole else f.at + 1)
                 if f.reason == "quoting":
                     self.pos = self.anchor(f.resume) if not self.whole else self.n
@@ -241,20 +252,45 @@ def parse_records(df: DataFrame, record_id: str = "record_id", feed: str = "feed
     return src.mapInPandas(run, OUT)
 
 
-FILE_OUT = "path string, line int, chrom int, start long, end long, name string, score double, source_index long, reason string, at int, detail string"
+FILE_OUT = "path string, line long, chrom int, start long, end long, name string, score double, source_index long, reason string, at int, detail string"
+#: Rows of one block of text that ``parse_lines`` puts together.
+BLOCK = 5_000
+
 
+def parse_files(df: DataFrame, feed: str | Column, path: str = "path", text: str = "text", first: str | Column | None = None) -> DataFrame:
+    """As ``parse_records`` for texts of many lines; after a broken quote reading resumes at the next anchor.
 
-def parse_files(df: DataFrame, feed: str, path: str = "path", text: str = "text") -> DataFrame:
-    """As ``parse_records`` for whole texts of many lines; after a broken quote reading resumes at the next anchor."""
-    src = df.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    ``feed`` names the feed of all texts, or is a column of it. Lines are counted from ``first`` (one by default). Null texts give no row.
+    """
+    kind = F.lit(feed) if isinstance(feed, str) else feed
+    begin = F.lit(1) if first is None else F.col(first) if isinstance(first, str) else first
+    src = df.where(F.col(text).isNotNull()).select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"), kind.alias("feed"), begin.cast("long").alias("first"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, t in zip(b["path"], b["text"]):
+            for p, t, fd, at in zip(b["path"], b["text"], b["feed"], b["first"]):
                 rows = []
-                for r in read_text(t or "", feed):
+                for r in read_text(t, fd):
                     v, f = r.values, r.fault
-                    rows.append((p, r.line, v.get("chrom"), v.get("start"), v.get("end"), v.get("name"), v.get("score"), v.get("source_index"), f and f.reason, r.column if f else None, f and f.detail))
+                    rows.append((p, at + r.line - 1, v.get("chrom"), v.get("start"), v.get("end"), v.get("name"), v.get("score"), v.get("source_index"), f and f.reason, r.column if f else None, f and f.detail))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in FILE_OUT.split(", ")], dtype=object)
 
-    return src.mapInPandas(run, FILE_OUT)
+    return src.where(F.col("feed").isin(list(FEEDS))).mapInPandas(run, FILE_OUT)
+
+
+def parse_lines(df: DataFrame, feed: str = "feed", path: str = "file_name", number: str = "line_no", line: str = "line", block: int = BLOCK) -> DataFrame:
+    """The records of files that are given row by row, each row beginning a record, in blocks of so many rows of a file.
+
+    The rows of a block are one text, read with error recovery: a quote that is not closed does not swallow the rows behind it
+    beyond the next anchor. A row that is no anchor and stands right behind a broken quote is part of that fault. Null rows are
+    empty lines; rows of one number stand in the order of their texts; a file of any length is many blocks.
+    """
+    x = df.select(F.col(feed).alias("feed"), F.col(path).alias("path"), F.col(number).cast("long").alias("no"), F.coalesce(F.col(line), F.lit("")).alias("line"))
+    x = x.withColumn("block", F.floor(F.col("no") / block))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda r: r["line"]), "\n")
+    size = F.sum(1 + F.length("line") - F.length(F.replace("line", F.lit("\n"), F.lit(""))))
+    blocks = x.groupBy("feed", "path", "block").agg(text.alias("text"), size.alias("size"))
+    before = W.partitionBy("feed", "path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row a block
+    sizes = x.groupBy("feed", "path", "block").agg(size.alias("size")).select("feed", "path", "block", (1 + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("first"))
+    keyed = blocks.drop("size").join(sizes, ["feed", "path", "block"])
+    return parse_files(keyed, F.col("feed"), "path", "text", "first")
