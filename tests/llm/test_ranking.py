@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm.components import connected_components, local_minima
+from varloom.llm.components import connected_components
+from varloom.operators.graph import forest
 from varloom.llm.cutoff import cutoffs, keep_fraction
 from varloom.llm.splits import assign_splits, balanced_bins, broken_families, deal, families, with_untied
 from varloom.llm.topn import top_n
@@ -81,8 +82,8 @@ def test_components_without_peeling_to_the_end(spark, steps):
     assert connected_components(df.limit(0), "a", "b").count() == 0
 
 
-def test_local_minima():
-    ids, low = local_minima(np.array([5, 3, 9]), np.array([3, 1, 8]))
+def test_forest():
+    ids, low = forest(np.array([5, 3, 9]), np.array([3, 1, 8]))
     assert dict(zip(ids.tolist(), low.tolist())) == {1: 1, 3: 1, 5: 1, 8: 8, 9: 8}
 
 

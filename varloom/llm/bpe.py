@@ -36,7 +36,9 @@ ASCII_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|
 #: Where the public vocabularies are; every function takes another path.
 TOKENIZERS = "/opt/tokenizers"
 #: States of the transducer and units with their ids that a worker keeps, and the longest unit that is kept.
-MAX_STATES, MAX_UNITS, LONGEST_UNIT = 60_000, 200_000, 64
+MAX_STATES, MAX_UNITS, LONGEST_UNIT = 120_000, 200_000, 64
+#: Units of a text whose ids are put together at once.
+MOST_AT_ONCE = 50_000
 #: A vocabulary file above this many bytes is refused, as it is sent to every worker.
 MAX_FILE = 32 << 20
 
@@ -82,11 +84,16 @@ class Transducer:
     def _merge(self, data: bytes) -> list[bytes]:
         """The encoding by definition: always merge the leftmost pair of lowest rank. Only for pairs of tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if (joined := parts[best] + parts[best + 1]) not in self.ranks:
-                break
-            parts[best : best + 2] = [joined]
+        rank, none = self.ranks.get, 1 << 60
+        ranks = [rank(x + y, none) for x, y in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def _stay(self, a: int, b: int) -> bool:
@@ -123,10 +130,16 @@ class Transducer:
         chains.append(last)
         # what all chains share is settled; the last settled token stays as context for its neighbour
         first = chains[0]
-        shared = min(map(len, chains))
-        for chain in chains:
-            while chain[:shared] != first[:shared]:
-                shared -= 1
+        most, shared = min(map(len, chains)), 1  # all begin with the same token
+        while shared < most:
+            token = first[shared]
+            for chain in chains:
+                if chain[shared] != token:
+                    break
+            else:
+                shared += 1
+                continue
+            break
         out = first[1:shared]
         key = tuple([x for n, c in zip(key, chains) for x in (n, c[shared - 1 :])])
         to = self.index.get(key)
@@ -161,11 +174,27 @@ class Transducer:
         into.extend(self.states[state][-1][1:])
 
 
+class _Units(dict):
+    """Ids of the units of texts, made when first asked for; long units are not kept."""
+
+    def __init__(self, fst: Transducer):
+        super().__init__()
+        self.fst = fst
+
+    def __missing__(self, unit: str) -> array:
+        ids = array("i")
+        self.fst.encode(unit.encode("utf-8"), ids)
+        if len(unit) <= LONGEST_UNIT:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to ids: the units of ``PATTERN``, each through the transducer; short units are remembered."""
+    """Texts to ids: the units of ``PATTERN``, each through the transducer; short units are remembered, up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_states: int = MAX_STATES, max_units: int = MAX_UNITS):
-        self.fst, self.units, self.max_units = Transducer(ranks, max_states), {}, max_units
+        self.fst, self.max_units = Transducer(ranks, max_states), max_units
+        self.units = _Units(self.fst)
         self.cut = regex.compile(pattern).findall
         self.cut_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall if pattern == PATTERN else self.cut
 
@@ -174,17 +203,16 @@ class Encoder:
         out = array("i") if into is None else into
         if not text:
             return out
-        units = self.units
-        for unit in (self.cut_ascii if text.isascii() else self.cut)(text):
-            known = units.get(unit)
-            if known is None:
-                known = array("i")
-                self.fst.encode(unit.encode("utf-8"), known)
-                if len(unit) <= LONGEST_UNIT:
-                    if len(units) >= self.max_units:
-                        units.clear()
-                    units[unit] = known
-            out.extend(known)
+        if len(self.units) >= self.max_units:
+            self.units.clear()
+        parts = (self.cut_ascii if text.isascii() else self.cut)(text)
+        if len(parts) <= MOST_AT_ONCE:
+            out.frombytes(b"".join(map(self.units.__getitem__, parts)))
+        else:  # a very long text, in pieces, so that units that are not kept do not pile up
+            for i in range(0, len(parts), MOST_AT_ONCE):
+                if len(self.units) >= self.max_units:
+                    self.units.clear()
+                out.frombytes(b"".join(map(self.units.__getitem__, parts[i : i + MOST_AT_ONCE])))
         return out
 
 

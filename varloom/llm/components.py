@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.graph import forest
 from ..session import Scratch
 
 #: Edges among which a task propagates minima at once.
@@ -35,31 +36,13 @@ CHUNK = 1_000_000
 THIN, STEPS = 0.05, 12
 
 
-def local_minima(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices of an edge list and the smallest vertex of each one's component."""
-    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    p = np.arange(len(ids))
-    while len(a):
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        q = np.arange(len(ids))
-        np.minimum.at(q, hi, lo)  # hook every vertex to its smallest neighbour below it
-        while not np.array_equal(r := q[q], q):
-            q = r
-        p = q[p]
-        a, b = q[a], q[b]
-        keep = a != b
-        a, b = a[keep], b[keep]
-    return ids, ids[p]
-
-
 def _contract(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         u, v = (np.concatenate(x) for x in zip(*held))
-        ids, low = local_minima(u, v)
+        ids, low = forest(u, v)
         keep = ids != low
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(low[keep])], names=["u", "v"])
 

@@ -20,7 +20,8 @@ def top_n(df: DataFrame, group: list[str], item: str | Column, score: str, n: in
 
     Each group is hashed into ``subgroups`` parts by item. Every part is ranked on its own and
     keeps ``n`` (Spark cuts each map task's rows to ``n`` a part before the shuffle), then the at
-    most ``n * subgroups`` survivors of a group are ranked. No task sees a whole group.
+    most ``n * subgroups`` survivors of a group are ranked. No task sees a whole group. The maximum has an
+    exchange of its own, as only a combining aggregate keeps copies of one item from meeting in one task.
     """
     keys = [f"_g{i}" for i in range(len(group))]
     it = F.col(item) if isinstance(item, str) else item
