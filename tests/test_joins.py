@@ -79,3 +79,24 @@ def test_liftover(spark):
     b = spark.createDataFrame(blocks, "chrom string, start long, end long, to_chrom string, to_start long, forward boolean")
     p = spark.createDataFrame([(1, "chr1", 100), (2, "chr1", 135), (3, "chr1", 150), (4, "chr2", 0), (5, "chr2", 9)], "id int, chrom string, pos long")
     assert sorted((r.id, r.to_pos) for r in lift(p, b, "id").collect()) == [(1, 500), (3, 555), (4, 79), (5, 70)]
+
+
+def test_semi_join_of_many_levels_keeps_copies(spark):
+    pts = spark.createDataFrame([(1, 5, {"a": 1}), (1, 5, {"a": 1}), (1, 50_000, {"a": 2}), (1, 999, {"a": 3}), (2, 5, {"a": 4}), (None, 5, {"a": 5})], "c int, pos long, m map<string,int>")
+    iv = spark.createDataFrame([(1, 4, 6), (1, 0, 20_000), (1, 40_000, 500_000), (1, 40_000, 50_000)], "c int, start long, end long")
+    out = range_join(pts, iv, ["c"], "pos", "start", "end", width=8, how="left_semi")
+    assert out.columns == ["c", "pos", "m"] and sorted((r.c, r.pos, r.m["a"]) for r in out.collect()) == [(1, 5, 1), (1, 5, 1), (1, 999, 3), (1, 50_000, 2)]
+
+
+def test_running_sum_over_partitions(spark):
+    import random
+
+    from varloom.operators.index import running_sum
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randint(0, 9)) for i in range(300)]
+    got = {(r.g, r.i): r.run for r in running_sum(spark.createDataFrame(rows, "g string, i int, v long").repartition(5), ["g"], [F.col("i")], "v", "run").collect()}
+    held = {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        held[g] = held.get(g, 0) + v
+        assert got[g, i] == held[g]

@@ -148,3 +148,23 @@ def test_stream(spark, tmp_path):
         q = annotate_stream(stream_points(spark, str(tmp_path / "in"), "chrom int, pos long"), iv, str(tmp_path / "out"), str(tmp_path / "chk"))
         q.awaitTermination()
     assert sorted(r.pos for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [5, 9]
+
+
+def test_results_of_runs(spark, tmp_path):
+    from varloom.sources.results import name_values, read_coefficients, read_context_effects, read_metadata
+
+    b = put(tmp_path / "b.tsv", "gene\ta\tb\nG\t1\t0.5\n")
+    assert sorted(tuple(r) for r in read_coefficients(spark, b, ["a", "b"]).collect()) == [("G", "a", 1.0), ("G", "b", 0.5)]
+    with pytest.raises(ValueError):
+        read_coefficients(spark, b, ["b", "a"])
+    for bad in ("context\teffect\na\t1\n", "context\teffect\na\t1\na\t2\n", "context\teffect\na\t1\nb\t-2\n", "context\teffect\na\t1\nb\t2\nc\t3\n"):
+        with pytest.raises(ValueError):
+            read_context_effects(spark, put(tmp_path / "e.tsv", bad), ["a", "b"])
+    for n in (1, 2):
+        (tmp_path / f"r{n}").mkdir()
+        put(tmp_path / f"r{n}" / "x.metadata.json", json.dumps({"trait": n}))
+    assert sorted(r.trait for r in read_metadata(spark, str(tmp_path / "*" / "*.metadata.json")).collect()) == [1, 2]
+    assert name_values(["a=1", "b=x=y"]) == {"a": "1", "b": "x=y"}
+    for bad in (["a"], ["=1"], ["a="], ["a=1", "a=2"]):
+        with pytest.raises(ValueError):
+            name_values(bad)

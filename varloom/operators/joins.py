@@ -39,18 +39,21 @@ def range_join(points: DataFrame, intervals: DataFrame, on: list[str], pos: str,
     cond.append(F.col(pos) < F.col(end) if half_open else F.col(pos) <= F.col(end))
     on_all = reduce(lambda a, b: a & b, cond)
     if how == "left_semi":
-        # a point is looked up at several levels; its row is kept once
-        key = points.columns
-        return pt.join(iv, on_all, "left_semi").drop("_pw", "_pbin").select(*key) if len(levels) == 1 else _semi(points, pt, iv, on_all)
+        return _semi(points, iv, levels, pos, cond, on)
     return pt.join(iv, on_all, "inner").drop("_pw", "_pbin", "_w", "_bin", *[f"_k{i}" for i in range(len(on))])
 
 
-def _semi(points: DataFrame, pt: DataFrame, iv: DataFrame, cond: Column) -> DataFrame:
-    # rows of points may repeat: number the copies through a count of equal rows
-    n = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_n"))
-    hit = pt.join(iv, cond, "left_semi").select(*points.columns).distinct()
-    on = reduce(lambda a, b: a & b, [n[c].eqNullSafe(hit[c]) for c in points.columns])
-    return n.join(hit, on, "left_semi").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n", "_i")
+def _semi(points: DataFrame, iv: DataFrame, levels: list[int], pos: str, cond: list[Column], on: list[str]) -> DataFrame:
+    """Points with an interval at some level, level by level: what one level finds does not go on to the next, so a row is kept once, and copies stay copies."""
+    out, rest = None, points
+    for k, w in enumerate(levels):
+        at = rest.withColumn("_pw", F.lit(w).cast("long")).withColumn("_pbin", F.floor(F.col(pos) / F.lit(w)))
+        here, on_all = iv.where(F.col("_w") == w), reduce(lambda a, b: a & b, cond)
+        hit = at.join(here, on_all, "left_semi").drop("_pw", "_pbin")
+        out = hit if out is None else out.union(hit)
+        if k + 1 < len(levels):
+            rest = at.join(here, on_all, "left_anti").drop("_pw", "_pbin")
+    return out
 
 
 def band_join(left: DataFrame, right: DataFrame, on: list[str], left_pos: str, right_pos: str, window: int) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
 from ..operators import folds as folding, graph, sparse as sp
-from ..operators.joins import first_per
+from ..operators.index import running_sum
+from ..operators.joins import antijoin_identity, first_per
 from ..session import Scratch, table
 from ..stats.fit import CheckpointStore, Fit, merge_stores
 from . import lens
@@ -76,9 +77,10 @@ def cumulative_share_cut(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("score")
     r = table(spark, d, "rankings").where((F.col("analysis") == "global") & F.col("ensembl").isNotNull() & (s > 0) & (s < float("inf")) & ~F.isnan(s))
     g = r.groupBy("source", S.strip_version("ensembl").alias("ensembl")).agg(F.max("score").alias("score"))
-    w = W.partitionBy("source").orderBy(F.col("score").desc(), "ensembl")
-    x = g.withColumn("run", F.sum("score").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("whole", F.sum("score").over(W.partitionBy("source")))
-    return x.where(F.round(F.col("run") - F.col("score"), 6) < F.round(0.5 * F.col("whole"), 6)).select("source", "ensembl", F.row_number().over(w).alias("rank"))
+    order = [F.col("score").desc(), F.col("ensembl").asc()]
+    x = running_sum(g.withColumn("one", F.lit(1).cast("long")), ["source"], order, "score", "run")
+    x = running_sum(x, ["source"], order, "one", "rank").join(g.groupBy("source").agg(F.sum("score").alias("whole")), "source")
+    return x.where(F.round(F.col("run") - F.col("score"), 6) < F.round(0.5 * F.col("whole"), 6)).select("source", "ensembl", F.col("rank").cast("int").alias("rank"))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -143,6 +145,14 @@ def ld_edges(spark: SparkSession, d: str) -> DataFrame:
     return lens.matrix(spark, d)
 
 
+def identity_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Stored pairs in both directions with the diagonals that are stored; variants without one get an edge of one to themselves."""
+    pairs = sp.ld_pairs(table(spark, d, "ld_blocks"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("row_idx"), F.col("b").alias("col_idx")), F.struct(F.col("b").alias("row_idx"), F.col("a").alias("col_idx")))).alias("e"), "r2").select("e.*", "r2")
+    own = table(spark, d, "ld_blocks").where("row_idx = col_idx and r2 > 0 and r2 <= 1").groupBy("row_idx", "col_idx").agg(F.max("r2").alias("r2"))
+    return antijoin_identity(both.unionByName(own), table(spark, d, "variants").select("variant_idx").distinct())
+
+
 def ld_score(spark: SparkSession, d: str) -> DataFrame:
     return sp.ld_score(lens.matrix(spark, d)).select(F.col("row_idx").alias("variant_idx"), F.round("ld_score", 6).alias("ld_score"))
 
@@ -290,7 +300,7 @@ def row_compatibility(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     predicted_links_sum_pivot, context_aggregate_sum, context_aggregate_binary, annotation_mass, row_and_column_mass, context_contributions,
     gene_contribution_rank, cumulative_share_cut, target_overlap_topk, simulation_aggregate, run_report, best_lambda, score_correlation,
-    ld_edges, ld_score, ld_block_diagnostics, ld_annotation_score, ld_score_totals, ld_propagate, mediated_prediction, ld_components,
+    ld_edges, identity_edges, ld_score, ld_block_diagnostics, ld_annotation_score, ld_score_totals, ld_propagate, mediated_prediction, ld_components,
     ld_component_sizes, ld_size_hist, component_sweep, fold_rows, fold_check, score_eligibility, ld_universe_restrict, checkpoint_merge, row_compatibility,
 )}
 
@@ -356,6 +366,10 @@ ORACLES = {
     "score_correlation": """WITH x AS (SELECT source, count(*) AS n, corr(score, coefficient) AS r, count(DISTINCT ensembl) AS n_genes FROM rankings WHERE isfinite(score) GROUP BY 1)
       SELECT source, n, round(CASE WHEN NOT isnan(r) THEN r END, 6) AS r, n_genes FROM x""",
     "ld_edges": ctes("ld") + " SELECT row_idx, col_idx, r2 FROM ld",
+    "identity_edges": ctes("ld")
+    + """, o AS (SELECT row_idx, max(r2) AS r2 FROM ld_blocks WHERE row_idx = col_idx AND r2 > 0 AND r2 <= 1 GROUP BY 1)
+      SELECT row_idx, col_idx, r2 FROM ld WHERE row_idx <> col_idx UNION ALL SELECT row_idx, row_idx, r2 FROM o
+      UNION ALL SELECT variant_idx, variant_idx, 1.0 FROM (SELECT DISTINCT variant_idx FROM variants) WHERE variant_idx NOT IN (SELECT row_idx FROM o)""",
     "ld_score": ctes("ld") + " SELECT row_idx AS variant_idx, round(sum(r2), 6) AS ld_score FROM ld GROUP BY 1",
     "ld_block_diagnostics": ctes("a", "ld")
     + """, ids AS (SELECT DISTINCT chrom, region, unnest([a, b]) AS variant_idx FROM ldp), an AS (SELECT DISTINCT variant_idx, 1 AS ann FROM a),

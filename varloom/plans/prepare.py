@@ -10,6 +10,7 @@ from ..operators.joins import first_per, left_fill, range_join, unique_keys
 from ..operators.liftover import lift
 from ..session import table
 from ..sources import sinks
+from ..sources.results import read_context_effects  # noqa: F401
 from . import lens
 from .lens import ctes
 
@@ -147,18 +148,6 @@ def reindex_coefficients(coef: DataFrame, genes: DataFrame, mechanisms: list[int
     return left_fill(full, coef, ["gene_idx", "mechanism_idx"], {"coef": 0.0})
 
 
-def read_context_effects(spark: SparkSession, path: str, contexts: list[str]) -> list[tuple[str, float, float | None]]:
-    """Effects in the order of ``contexts`` from a table ``context, effect[, standard_error]``: unique, complete and not negative."""
-    rows = spark.read.csv(path, sep="\t", header=True).collect()
-    by = {r["context"]: r for r in rows}
-    if len(by) != len(rows) or set(by) != set(contexts):
-        raise ValueError("contexts must be unique and complete")
-    out = [(c, float(by[c]["effect"]), float(by[c]["standard_error"]) if "standard_error" in by[c] else None) for c in contexts]
-    if any(not e >= 0 for _, e, _ in out):
-        raise ValueError("effects must not be negative")
-    return out
-
-
 def enrich(ranked: DataFrame, first: DataFrame, sets: DataFrame, groups: list[str], alpha: float = 0.05) -> DataFrame:
     """Over-representation of gene sets (``set_name, ensembl``) among the ``first`` genes of each ranking.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import annotation_value, p_to_z
@@ -9,6 +10,8 @@ from ..operators import sparse as sp
 from ..operators.joins import first_per
 from ..session import Scratch, table
 from ..sources import gwas as gw, sinks, tables
+from ..sources.results import name_values, read_coefficients, read_context_effects, read_metadata
+from ..stats.fit import Fit
 from ..streaming.annotate import annotate_stream, stream_points
 from . import annotate as an, lens, prepare as pp
 from .lens import ctes
@@ -324,6 +327,28 @@ def table_cache(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(m["n"], m["min_pos"], m["max_pos"], m["max_event_id"])], "n long, min_pos long, max_pos long, max_id long")
 
 
+def run_files(spark: SparkSession, d: str) -> DataFrame:
+    """Runs written and read back: coefficients, effects, contributions and metadata of all runs under a folder."""
+    root, contexts = _folder(spark), [f"c{c}" for c in CONTEXTS]
+    mass = sp.mass(lens.triples(spark, d)).where(F.col("mechanism_idx").isin(CONTEXTS))
+    by = {r["mechanism_idx"]: float(r["m"]) for r in mass.groupBy("mechanism_idx").agg(F.sum("mass").alias("m")).collect()}  # the contexts
+    effects = np.array([by.get(c, 0.0) for c in CONTEXTS])
+    named = name_values(["one=1", "two=2"])
+    for name, factor in named.items():
+        fit = Fit("hierarchical", np.outer([1.0, 2.0], effects) * float(factor), 0.5, effects * float(factor), np.zeros(len(contexts)))
+        diag = spark.createDataFrame([(1, 2)], "chrom int, n long")
+        pp.write_fit(spark, f"{root}/{name}", fit, ["g1", "g2"], contexts, {"trait": name}, mass.groupBy("mechanism_idx").agg(F.sum("mass").alias("total_h2")), diag)
+        wide = spark.read.parquet(f"{root}/{name}/coefficients").groupBy("gene").pivot("mechanism", contexts).agg(F.first("coef"))
+        _text(wide, f"{root}/{name}/b.tsv")
+        _text(spark.read.parquet(f"{root}/{name}/context_effects").coalesce(1), f"{root}/{name}/effects.tsv")
+    meta = read_metadata(spark, f"{root}/*/metadata.json").select("trait", "tau")
+    rows = []
+    for name in named:
+        sums = {r["mechanism"]: r["s"] for r in read_coefficients(spark, f"{root}/{name}/b.tsv", contexts).groupBy("mechanism").agg(F.sum("coef").alias("s")).collect()}
+        rows += [(name, c, round(e, 6), round(sums[c], 6)) for c, e, _ in read_context_effects(spark, f"{root}/{name}/effects.tsv", contexts)]
+    return spark.createDataFrame(rows, "trait string, context string, effect double, coefs double").join(meta, "trait")
+
+
 def stream_annotation(spark: SparkSession, d: str) -> DataFrame:
     """Arriving files of positions joined with standing intervals, all that is there at once."""
     root = _folder(spark)
@@ -337,7 +362,7 @@ def stream_annotation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     gwas_scan, gwas_scan_p, top_association_scan, link_scan, bed_scan, tss_scan, bim_scan, ld_metadata_scan, ld_block_assembly, source_link_scan, prepared_partition_scan,
     gtf_scan, target_scan, extracted_scan, study_preparation, link_loader, peak_context_loader, peak_gene_loader, predicted_loader, association_loader, annotation_files,
-    predicted_annotation_files, ldsc_reference_m, ldsc_reference_files, sumstats_file, lifted_links, expressed_starts, marker_identity, fold_cache, table_cache, stream_annotation,
+    predicted_annotation_files, ldsc_reference_m, ldsc_reference_files, sumstats_file, lifted_links, expressed_starts, marker_identity, fold_cache, table_cache, run_files, stream_annotation,
 )}
 
 _NV = ctes("vv", "l", "p", "t") + ", nv AS (SELECT chrom, pos, row_number() OVER (ORDER BY chrom, pos) - 1 AS variant_idx FROM (SELECT DISTINCT chrom, pos FROM v))"
@@ -411,5 +436,8 @@ ORACLES = {
     "fold_cache": """WITH x AS (SELECT variant_idx, max(cv_groups) AS cv_groups, max(cv_score_groups) AS cv_score_groups, row_number() OVER (ORDER BY variant_idx) - 1 AS k FROM cv_folds GROUP BY 1)
       SELECT cv_groups, cv_score_groups, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids, true AS whole FROM x GROUP BY ALL""",
     "table_cache": ctes("vv") + " SELECT count(*) AS n, min(pos) AS min_pos, max(pos) AS max_pos, max(event_id) AS max_id FROM v",
+    "run_files": ctes("a")
+    + """, m AS (SELECT mechanism_idx AS c, sum(value) AS m FROM a WHERE mechanism_idx BETWEEN 1 AND 9 GROUP BY 1)
+      SELECT t.name AS trait, 'c' || c AS context, round(f * coalesce(m, 0), 6) AS effect, round(3 * f * coalesce(m, 0), 6) AS coefs, 0.5::DOUBLE AS tau FROM (VALUES ('one', 1.0::DOUBLE), ('two', 2.0::DOUBLE)) t(name, f), range(1, 10) r(c) LEFT JOIN m USING (c)""",
     "stream_annotation": ctes("vv", "p") + " SELECT v.chrom, context, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM v JOIN p ON v.chrom = p.chrom AND v.pos BETWEEN p.s AND p.e GROUP BY ALL",
 }
