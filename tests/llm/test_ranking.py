@@ -122,6 +122,9 @@ def test_balanced_bins_and_splits(spark):
     for n, ratio in ((512, 1.05), (1000, 2.2)):
         where, last = balanced_bins(Scratch(spark, "t"), spark.createDataFrame(w[:n], "unit long, weight long"), bins=40)
         rows = where.collect()
+        # ranked over range partitions, the same
+        wide, _ = balanced_bins(Scratch(spark, "t"), spark.createDataFrame(w[:n], "unit long, weight long"), bins=40, one_task=0)
+        assert sorted(wide.collect()) == sorted(rows)
         assert len(rows) == n and len(last) <= 40
         by = {}
         for r in rows:

@@ -21,6 +21,8 @@ from .components import connected_components
 GENES = 1 << 62
 #: Most bins that are dealt on the driver.
 BINS = 100
+#: Most units that one task ranks.
+ONE_TASK = 100_000
 
 
 def families(triples: DataFrame, variant: str = "variant_idx", gene: str = "gene_idx") -> DataFrame:
@@ -47,13 +49,20 @@ def with_untied(fam: DataFrame, triples: DataFrame, variant: str = "variant_idx"
     return fam.unionByName(lone.distinct().join(fam, ["kind", "idx"], "left_anti"))
 
 
-def balanced_bins(scratch: Scratch, weights: DataFrame, bins: int = BINS) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """``unit -> bin`` for a table ``unit, weight``, and the bins' weights (at most ``bins`` of them)."""
+def balanced_bins(scratch: Scratch, weights: DataFrame, bins: int = BINS, one_task: int = ONE_TASK) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``unit -> bin`` for a table ``unit, weight``, and the bins' weights (at most ``bins`` of them).
+
+    Rounds of at most ``one_task`` units are ranked in one task, larger ones over range partitions.
+    """
     # a bin is named by the smallest unit in it; `hops` lead from a round's units to the next round's
     level = scratch.stage(weights.select("unit", "weight"))
     n, hops = level.count(), []
     while n > bins:
-        ranked = dense_index(level, [F.col("weight").desc(), F.col("unit").asc()], "n", scratch)
+        order = [F.col("weight").desc(), F.col("unit").asc()]
+        if n > one_task:
+            ranked = dense_index(level, order, "n", scratch)
+        else:
+            ranked = level.withColumn("n", F.row_number().over(W.orderBy(*order)).cast("long") - 1)
         # of an odd number the heaviest stays alone: ranks 1..n-1 are paired from both ends, rank 0 with itself
         odd = n % 2
         paired = ranked.withColumn("mate", F.when(F.col("n") < odd, F.lit(-1)).otherwise(F.least(F.col("n"), F.lit(n - 1 + odd) - F.col("n"))))
