@@ -243,3 +243,25 @@ def test_sldsc_fit_has_a_model_of_every_context(spark):
     w = np.sqrt(1 / np.maximum(x["chisq"], 1)).to_numpy()
     want = np.linalg.lstsq(x[["a", "b"]].to_numpy() * w[:, None], (x["chisq"] - 1).to_numpy() * w, rcond=None)[0]
     assert np.allclose([r.coefficient for r in got if r.model == "c4"], want, atol=1e-6)
+
+
+def test_folds_in_tasks_equal_folds_on_the_driver(spark):
+    rng = np.random.default_rng(7)
+    k, l, n = 3, 2, 90
+    x = rng.random((n, k * l + 1)) * (rng.random((n, k * l + 1)) < 0.7)
+    x[:, -1] = rng.random(n) + 0.1
+    y, w = x[:, :-1] @ np.outer(rng.random(k), rng.random(l)).ravel() + 0.1 * x[:, -1], rng.random(n) + 0.5
+    cells = [(int(i % 3), int(i % 5), int(i), int(j), float(x[i, j]), float(y[i]), float(w[i])) for i in range(n) for j in range(k * l + 1) if x[i, j]]
+    df = spark.createDataFrame(cells, "fold int, region long, row long, p long, x double, y double, w double")
+    e = gm.gram_entries(df, ["fold"], "region", unweighted=True)
+    kw = dict(lr=None, max_iter=60, tol=1e-8)
+    got = models.validate_folds(e, "nuclear", k, l, [1.0, 0.1], 2, **kw)
+    mk = lambda m, v: gm.Gram(x[m].T @ (v[m, None] * x[m]), x[m].T @ (v[m] * y[m]), float(v[m] @ (y[m] ** 2)), int(m.sum()))
+    folds = {f: mk(np.arange(n) % 3 == f, w) for f in range(3)}
+    scores = {f: mk(np.arange(n) % 3 == f, np.ones(n)) for f in range(3)}
+    whole = mk(np.ones(n, dtype=bool), w)
+    want = cross_validate("nuclear", whole, folds, scores, k, l, [1.0, 0.1], 2, **kw)
+    assert got.keys() == want.keys() and all(got[lam] == pytest.approx(want[lam], rel=1e-6) for lam in got)
+    assert len(got) > 2
+    with pytest.raises(ValueError):
+        gm.bounded(e, gm.MOST_PARAMS + 1)
