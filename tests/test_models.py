@@ -265,3 +265,52 @@ def test_folds_in_tasks_equal_folds_on_the_driver(spark):
     assert len(got) > 2
     with pytest.raises(ValueError):
         gm.bounded(e, gm.MOST_PARAMS + 1)
+
+
+def row_design(spark, n=90, k=3, l=2, extra=0, seed=7):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, k * l + extra + 1)) * (rng.random((n, k * l + extra + 1)) < 0.7)
+    x[:, -1] = rng.random(n) + 0.1
+    y, w = x[:, : k * l] @ np.outer(rng.random(k), rng.random(l)).ravel() + 0.1 * x[:, -1], rng.random(n) + 0.5
+    w[3] = 0.0
+    cells = [(int(i % 3), int(i % 5), int(i), int(j), float(x[i, j]), float(y[i]), float(w[i])) for i in range(n) for j in range(x.shape[1]) if x[i, j]]
+    return x, y, w, spark.createDataFrame(cells, "fold int, chrom int, row long, p long, x double, y double, w double")
+
+
+def test_rows_are_the_gram_without_a_bound(spark, monkeypatch):
+    x, y, w, df = row_design(spark)
+    monkeypatch.setattr(gm, "MOST_PARAMS", 5)  # the Gram is refused
+    monkeypatch.setattr(gm, "IN_MEMORY", 100)
+    monkeypatch.setattr(gm, "CHUNK", 60)
+    got = gm.rows_of(gm.pack(df, "chrom").toLocalIterator(), 7, True)
+    g = gm.Gram(x.T @ (w[:, None] * x), x.T @ (w * y), float(w @ y**2), 89)
+    beta = np.random.default_rng(0).random(7)
+    assert len(got.chunks) > 1 and got.n == 89 and got.q == pytest.approx(g.q) and np.allclose(got.h, g.h)
+    assert np.allclose(got.dot(beta), g.dot(beta)) and got.loss(beta) == pytest.approx(g.loss(beta)) and np.allclose(got.columns([2, 6]), g.columns([2, 6]))
+    a, b = fit_nuclear(got, 3, 2, 1e-3, lr=None), fit_nuclear(g, 3, 2, 1e-3, lr=None)
+    assert np.allclose(a.b, b.b) and a.tau == pytest.approx(b.tau)
+    fit = models._fit(df, "nuclear", 3, 2, [1e-3], lr=None).toPandas()
+    b = fit_nuclear(g, 3, 2, 1e-3, lr=None, tol=models.TOL)
+    assert np.allclose(fit["coefficient"], np.append(b.b.ravel(), b.tau)) and fit["kind"].tolist() == ["deviation"] * 6 + ["tau"]
+
+
+def test_hierarchical_rows_have_the_jackknife_blocks(spark, monkeypatch):
+    x, y, w, df = row_design(spark, extra=2)
+    monkeypatch.setattr(gm, "MOST_PARAMS", 5)
+    got = gm.rows_of(gm.pack(df, "chrom").toLocalIterator(), 9, True)
+    at = np.arange(90) % 5
+    mk = lambda m: gm.Gram(x[m].T @ (w[m, None] * x[m]), x[m].T @ (w[m] * y[m]), float(w[m] @ y[m] ** 2), int((w[m] != 0).sum()))
+    want = fit_hierarchical(gm.total([mk(at == c) for c in range(5)]), 3, 2, 0.1, lr=None)
+    fit = fit_hierarchical(got, 3, 2, 0.1, lr=None)
+    assert len(got.blocks) == 5 and np.allclose(fit.b, want.b) and np.allclose(fit.effects, want.effects) and np.allclose(fit.effects_se, want.effects_se) and fit.tau == pytest.approx(want.tau)
+
+
+def test_rows_in_tasks_score_the_folds_of_more_parameters_than_a_gram_may_have(spark, monkeypatch):
+    x, y, w, df = row_design(spark)
+    monkeypatch.setattr(gm, "MOST_PARAMS", 5)
+    kw = dict(lr=None, max_iter=60, tol=1e-8)
+    got = models.validate_rows(df, "nuclear", 3, 2, [1.0, 0.1], 2, **kw)
+    mk = lambda m, v: gm.Gram(x[m].T @ (v[m, None] * x[m]), x[m].T @ (v[m] * y[m]), float(v[m] @ (y[m] ** 2)), int((v[m] != 0).sum()))
+    f = np.arange(90) % 3
+    want = cross_validate("nuclear", mk(f >= 0, w), {i: mk(f == i, w) for i in range(3)}, {i: mk(f == i, (w != 0).astype(float)) for i in range(3)}, 3, 2, [1.0, 0.1], 2, **kw)
+    assert got.keys() == want.keys() and all(got[lam] == pytest.approx(want[lam], rel=1e-6) for lam in got)

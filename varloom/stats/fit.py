@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..sources.files import Files
-from .gram import Quadratic
+from .gram import Quadratic, Rows
 from .solve import nuclear, orthant_minimum, shrink_bounded, shrink_length, to_simplex
 
 #: The default penalties and loop constants.
@@ -276,7 +276,7 @@ def fit_hierarchical(
     steps = Steps(_step(split, lr), adaptive)
     rules = {"flat": flat, "idle": idle, "still": still(tol)}
     place, c, p, why = descend(split, b, c, solve, bounds[constraint], lam, steps, rules, max_iter, None if lr is None else clip, lr is None, **prox)
-    blocks = [Split.of(x, l + 1).at(place.b).end_equations() for x in (loss.blocks or [loss])]
+    blocks = [x.end_equations(place.b, l + 1) if isinstance(x, Rows) else Split.of(x, l + 1).at(place.b).end_equations() for x in (loss.blocks or [loss])]
     se = jackknife([n for n, _ in blocks], [r for _, r in blocks], solve)[:-1]
     if profile_se is not None:
         se = _profile_error(mode, np.asarray(profile_se, dtype=float), se, c[:-1], profile)

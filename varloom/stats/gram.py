@@ -5,12 +5,20 @@ product with the response, the response's square and the number of rows replace
 iteration, every penalty and every fold: a fold is trained on the whole minus its own part. Parameters
 meet only where their variants share a region, so a model of a hundred thousand parameters has a
 sparse Gram, of which the driver keeps the entries that exist, up to a bound that is checked first.
+
+A row of ``m`` non-zeros has ``m (m + 1) / 2`` of the Gram's entries, so the products with the Gram that a fit
+needs are also made from the rows themselves (``Rows``), whose number of non-zeros has no bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import atexit
+import os
+import shutil
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,6 +33,8 @@ MOST_PARAMS, MOST_ENTRIES = 1_000_000, 60_000_000
 DENSE = 1_000
 #: Rows and cells of the design that a task multiplies at once, and columns of one product.
 ROWS, CELLS, TILE = 4_096, 4_000_000, 1_024
+#: Non-zeros of a design's rows that are multiplied at once, and that a process holds in memory; more are mapped from files.
+CHUNK, IN_MEMORY = 1_000_000, 2_000_000
 
 
 @dataclass
@@ -120,6 +130,92 @@ class Sum(Quadratic):
         return sum(p.columns(which) for p in self.blocks)
 
 
+@dataclass
+class Chunk:
+    """Rows of a design that have non-zeros, kept by row (``starts, p, x``) and by parameter (``cols, at, rows, by_col``)."""
+
+    counts: np.ndarray
+    p: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    fold: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
+        order = np.argsort(self.p, kind="stable")
+        self.cols, self.at = np.unique(self.p[order], return_index=True)
+        self.rows = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)[order]
+        self.by_col = self.x[order]
+
+    def mapped(self, folder: str) -> "Chunk":
+        """The same with the long arrays in files."""
+        for name in ("p", "x", "rows", "by_col"):
+            a = getattr(self, name)
+            path = os.path.join(folder, f"{len(os.listdir(folder))}.bin")
+            a.tofile(path)
+            setattr(self, name, np.memmap(path, dtype=a.dtype, mode="r"))
+        return self
+
+    def times(self, z: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.x * z[self.p], self.starts)
+
+    def back(self, u: np.ndarray, out: np.ndarray) -> None:
+        out[self.cols] += np.add.reduceat(self.by_col * u[self.rows], self.at)
+
+    def end(self, first: int, width: int) -> np.ndarray:
+        """The last parameters' columns, dense."""
+        on = np.flatnonzero(self.p >= first)
+        out = np.zeros((len(self.counts), width))
+        np.add.at(out, (np.searchsorted(self.starts, on, side="right") - 1, self.p[on] - first), self.x[on])
+        return out
+
+
+class Rows(Quadratic):
+    """The loss over rows of a design: a product with its Gram is one with the rows and one back. ``weights`` may replace the chunks' own."""
+
+    def __init__(self, chunks: list[Chunk], size: int, weights: list[np.ndarray] | None = None, blocks: list["Quadratic"] | None = None):
+        self.chunks, self.params, self.blocks = chunks, size, blocks or []
+        self.weights = [c.w for c in chunks] if weights is None else weights
+        self.n = sum(int(np.count_nonzero(w)) for w in self.weights)
+        self.q = float(sum(w @ (c.y * c.y) for c, w in zip(chunks, self.weights)))
+
+    @property
+    def size(self) -> int:
+        return self.params
+
+    @cached_property
+    def h(self) -> np.ndarray:
+        return self._back(lambda c: c.y)
+
+    def _back(self, of) -> np.ndarray:
+        out = np.zeros(self.params)
+        for c, w in zip(self.chunks, self.weights):
+            c.back(w * of(c), out)
+        return out
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        return self._back(lambda c: c.times(x))
+
+    def loss(self, beta: np.ndarray) -> float:
+        return float(sum(w @ (c.y - c.times(beta)) ** 2 for c, w in zip(self.chunks, self.weights)) / max(self.n, 1))
+
+    def end_equations(self, b: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The equations of the last ``end`` parameters beside coefficients ``b``, without a vector of all parameters."""
+        z, normal, rhs = np.append(b.ravel(), np.zeros(end)), np.zeros((end, end)), np.zeros(end)
+        for c, w in zip(self.chunks, self.weights):
+            e = c.end(self.params - end, end)
+            normal += e.T @ (w[:, None] * e)
+            rhs += e.T @ (w * (c.y - c.times(z)))
+        return normal, rhs
+
+    def fold(self, fold: int) -> tuple["Rows", "Rows"]:
+        """What trains a fold (the rows of the others), and its own rows without weights; nothing is copied."""
+        own = [c.fold == fold for c in self.chunks]
+        train = [np.where(o, 0.0, w) for o, w in zip(own, self.weights)]
+        return Rows(self.chunks, self.params, train), Rows(self.chunks, self.params, [o.astype(float) for o in own])
+
+
 def total(parts: list[Quadratic]) -> Quadratic:
     return Sum(parts)
 
@@ -224,3 +320,92 @@ def fetch(entries: DataFrame, n_params: int, by: str | None = None) -> Quadratic
         return load(t, n_params)
     k = t[by].to_numpy()
     return {int(x): load(t.filter(pa.array(k == x)), n_params) for x in np.unique(k)}
+
+
+def pack(design: DataFrame, block: str | None = None) -> DataFrame:
+    """``block, data`` for a ``design`` of ``row, p, x, y, w`` (and ``fold``, ``block``): the rows with a weight as packed arrays, staged."""
+    fold, key = (F.first(c).cast("long") if c in design.columns else F.lit(0).cast("long") for c in ("fold", block or ""))
+    rows = design.groupBy("row").agg(key.alias("block"), fold.alias("fold"), F.first(F.col("y").cast("double")).alias("y"), F.first(F.col("w").cast("double")).alias("w"), F.collect_list("p").alias("ps"), F.collect_list("x").alias("xs"))
+    rows = rows.where("w != 0").select("block", "fold", "y", "w", "ps", "xs")
+    rows = rows.sortWithinPartitions("block") if block else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, fold, y, w = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            ps, xs = b.column(4), b.column(5)
+            start = ps.offsets.to_numpy()
+            p, x = ps.values.to_numpy(zero_copy_only=False), xs.values.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            out = []
+            for lo, hi in zip(edges, edges[1:]):
+                part = slice(start[lo], start[hi])
+                arrays = (np.diff(start[lo : hi + 1]).astype("<i4"), fold[lo:hi].astype("<i4"), y[lo:hi], w[lo:hi], x[part], p[part].astype("<i4"))
+                out.append((int(at[lo]), hi - lo, b"".join(a.tobytes() for a in arrays)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["block", "n", "data"])
+
+    return Scratch(design.sparkSession, "rows").stage(rows.mapInArrow(run, "block long, n long, data binary"))
+
+
+def unstage(packed: DataFrame) -> None:
+    Scratch(packed.sparkSession).drop(packed)
+
+
+def unpack(pieces: list[tuple[int, bytes]]) -> Chunk:
+    """One chunk of the rows of several packed pieces ``n, data``."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for n, data in pieces:
+        counts, at = np.frombuffer(data, "<i4", n), 4 * n
+        m = int(counts.sum())
+        parts[0].append(counts)
+        for k, (kind, length) in enumerate((("<i4", n), ("<f8", n), ("<f8", n), ("<f8", m), ("<i4", m)), 1):
+            parts[k].append(np.frombuffer(data, kind, length, at))
+            at += length * int(kind[2])
+    counts, fold, y, w, x, p = (np.concatenate(a) for a in parts)
+    return Chunk(counts, p, x, y, w, fold)
+
+
+def chunks_of(pieces: Iterable[tuple[int, int, bytes]]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The pieces ``block, n, data`` of a chunk with their block, one chunk after another: a chunk of each block is held at most."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
+    for block, n, data in pieces:
+        mine = held.setdefault(block, [])
+        mine.append((n, bytes(data)))
+        if sum(len(d) for _, d in mine) >= 12 * CHUNK:
+            yield block, held.pop(block)
+    yield from held.items()
+
+
+class Holder:
+    """Chunks in memory, or, beyond ``IN_MEMORY`` non-zeros, in files that go with the process."""
+
+    def __init__(self) -> None:
+        self.size, self.folder = 0, None
+
+    def keep(self, c: Chunk) -> Chunk:
+        self.size += len(c.x)
+        if self.size <= IN_MEMORY:
+            return c
+        if self.folder is None:
+            self.folder = tempfile.mkdtemp(prefix="varloom-rows-")
+            atexit.register(shutil.rmtree, self.folder, True)
+        return c.mapped(self.folder)
+
+
+def rows_of(pieces: Iterable[tuple[int, int, bytes]], n_params: int, blocks: bool) -> Rows:
+    """The loss over all rows of packed pieces, with its blocks."""
+    holder, by = Holder(), {}
+    for at, part in chunks_of(pieces):
+        by.setdefault(at, []).append(holder.keep(unpack(part)))
+    return Rows([c for _, cs in sorted(by.items()) for c in cs], n_params, blocks=[Rows(cs, n_params) for _, cs in sorted(by.items())] if blocks else [])
+
+
+def in_task(design: DataFrame, n_params: int, then: Callable[[Rows], pa.Table], schema: str, block: str | None = None) -> DataFrame:
+    """The table that ``then`` makes of the loss over all rows of the design, in one task that holds the rows as ``Rows``; nothing comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (tuple(b.column(k)[i].as_py() for k in range(3)) for b in batches for i in range(b.num_rows))
+        yield from then(rows_of(pieces, n_params, block is not None)).to_batches(100_000)
+
+    return pack(design, block).coalesce(1).mapInArrow(run, schema)
