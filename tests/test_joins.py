@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom.operators.index import dense_index
-from varloom.operators.joins import align_global, align_row, antijoin_identity, assert_unique, band_join, first_per, left_fill, range_join, unique_keys
+from varloom.operators.joins import align_global, align_row, antijoin_identity, assert_unique, band_join, first_per, left_fill, range_join, range_max, unique_keys
 from varloom.operators.liftover import chain_blocks, lift
 
 
@@ -100,3 +100,31 @@ def test_running_sum_over_partitions(spark):
     for g, i, v in sorted(rows, key=lambda r: r[1]):
         held[g] = held.get(g, 0) + v
         assert got[g, i] == held[g]
+
+
+def test_range_max(spark):
+    rng = random.Random(5)
+    pts = [(i % 90, rng.choice([1, 2, None]), rng.randint(-50, 600)) for i in range(200)]
+    iv = [(rng.choice([1, 2]), s := rng.randint(-60, 600), s + rng.choice([-1, 0, 3, 50, 900]), rng.choice(["a", "b", None]), rng.choice([0.1, 0.2, 0.3])) for _ in range(150)]
+    p, i = spark.createDataFrame(pts, "id int, chrom int, pos long"), spark.createDataFrame(iv, "chrom int, start long, end long, g string, v double")
+    held = lambda c, x: {g: max(v for d, s, e, h, v in iv if d == c and s <= x <= e and h == g) for d, s, e, g, _ in iv if d == c and s <= x <= e}
+    key = lambda r: (r[0], r[1], r[2] or "", r[3])
+    want = sorted(((n, x, g, v) for n, c, x in pts for g, v in held(c, x).items()), key=key)
+    for width in (8, 4096):
+        got = range_max(p, i, ["chrom"], "pos", "start", "end", ["g"], "v", width=width)
+        assert sorted(((r.id, r.pos, r.g, r.v) for r in got.collect()), key=key) == want
+    assert range_max(p, i.limit(0), ["chrom"], "pos", "start", "end", ["g"], "v").count() == 0
+
+
+@pytest.mark.parametrize("name", ["cre_triples_max"])
+def test_hits_of_unique_identifiers_are_not_shuffled(spark, tmp_path, name):
+    from varloom.plans import annotation
+
+    d = "/root/testdata/sf0.001"
+    plan = annotation.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" not in plan
+    for t in ("events", "lineitem", "orders", "part"):
+        x = spark.read.parquet(f"{d}/{t}.parquet")
+        (x.union(x) if t == "events" else x).write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = lambda at: sorted(map(tuple, annotation.QUERIES[name](spark, at).collect()))
+    assert rows(str(tmp_path)) == rows(d)  # copies of an identifier count once

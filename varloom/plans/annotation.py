@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
 from ..operators.index import dense_index
 from ..operators.intervals import running_max
-from ..operators.joins import align_global, align_row, band_join, first_per, left_fill, range_join, unique_keys
+from ..operators.joins import align_global, align_row, band_join, first_per, left_fill, range_join, range_max, unique_keys
 from ..session import table
 from . import lens
 from .lens import ctes
@@ -39,8 +39,21 @@ def cre_range_join(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("event_id", "gene", "cell_type", "score")
 
 
+def _events(spark: SparkSession, d: str) -> tuple[DataFrame, bool]:
+    """``event_id, chrom, pos`` of the variants, and whether an identifier has several rows."""
+    v = lens.variants(spark, d).select("event_id", "chrom", "pos")
+    return v, not v.groupBy("event_id").count().where("count > 1").isEmpty()
+
+
+def _largest(spark: SparkSession, d: str, each: Column | None = None) -> DataFrame:
+    """``event_id, gene, cell_type, score``: largest scores, without a shuffle of the hits unless identifiers repeat."""
+    v, repeats = _events(spark, d)
+    x = range_max(v, lens.links(spark, d).where(F.col("score") >= MIN_SCORE), ["chrom"], "pos", "start", "end", ["gene", "cell_type"], "score", each).drop("chrom", "pos")
+    return x.groupBy("event_id", "gene", "cell_type").agg(F.max("score").alias("score")) if repeats else x
+
+
 def cre_triples_max(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).groupBy("event_id", "gene", "cell_type").agg(F.max("score").alias("value"))
+    return _largest(spark, d).withColumnRenamed("score", "value")
 
 
 def cre_intercept_union(spark: SparkSession, d: str) -> DataFrame:
