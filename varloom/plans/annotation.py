@@ -58,9 +58,9 @@ def cre_triples_max(spark: SparkSession, d: str) -> DataFrame:
 
 def cre_intercept_union(spark: SparkSession, d: str) -> DataFrame:
     """Triples and an intercept of 1 for every distinct variant and gene."""
-    t = cre_triples_max(spark, d)
-    both = F.array(F.struct(F.col("cell_type").alias("mechanism"), F.col("value").alias("value")), F.struct(F.lit("intercept").alias("mechanism"), F.lit(1.0).alias("value")))
-    return t.select("event_id", "gene", F.explode(both).alias("r")).groupBy("event_id", "gene", "r.mechanism").agg(F.max("r.value").alias("value"))
+    one = lambda kind, value: F.struct(F.col("gene"), kind.alias("cell_type"), value.alias("score"))
+    both = F.array(one(F.col("cell_type"), F.col("score")), one(F.lit("intercept"), F.lit(1.0)))
+    return _largest(spark, d, both).withColumnsRenamed({"cell_type": "mechanism", "score": "value"})
 
 
 def self_promoter_filter(spark: SparkSession, d: str) -> DataFrame:
