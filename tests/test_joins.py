@@ -116,7 +116,7 @@ def test_range_max(spark):
     assert range_max(p, i.limit(0), ["chrom"], "pos", "start", "end", ["g"], "v").count() == 0
 
 
-@pytest.mark.parametrize("name", ["cre_triples_max", "cre_intercept_union"])
+@pytest.mark.parametrize("name", ["cre_triples_max", "cre_intercept_union", "tss_band_join"])
 def test_hits_of_unique_identifiers_are_not_shuffled(spark, tmp_path, name):
     from varloom.plans import annotation
 

@@ -89,9 +89,14 @@ def peak_context_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 def tss_band_join(spark: SparkSession, d: str) -> DataFrame:
     """Variants inside a peak with the genes whose start lies within 20 kb."""
-    v = range_join(lens.variants(spark, d), lens.peaks(spark, d), ["chrom"], "pos", "start", "end", how="left_semi")
-    pairs = band_join(v, lens.tss(spark, d), ["chrom"], "pos", "tss", 20_000)
-    return pairs.groupBy("event_id", "gene").agg(F.min(F.abs(F.col("pos") - F.col("tss"))).alias("distance"))
+    v, repeats = _events(spark, d)
+    t = lens.tss(spark, d)
+    pairs = band_join(range_join(v, lens.peaks(spark, d), ["chrom"], "pos", "start", "end", how="left_semi"), t, ["chrom"], "pos", "tss", 20_000)
+    pairs = pairs.select("event_id", "gene", F.abs(F.col("pos") - F.col("tss")).alias("distance"))
+    # without repeated identifiers or genes no pair comes twice, and the pairs need no shuffle
+    if repeats or not t.groupBy("chrom", "gene").count().where("count > 1").isEmpty():
+        pairs = pairs.groupBy("event_id", "gene").agg(F.min("distance").alias("distance"))
+    return pairs
 
 
 def top_assoc_topk_genes(spark: SparkSession, d: str) -> DataFrame:
