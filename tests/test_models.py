@@ -314,3 +314,12 @@ def test_rows_in_tasks_score_the_folds_of_more_parameters_than_a_gram_may_have(s
     f = np.arange(90) % 3
     want = cross_validate("nuclear", mk(f >= 0, w), {i: mk(f == i, w) for i in range(3)}, {i: mk(f == i, (w != 0).astype(float)) for i in range(3)}, 3, 2, [1.0, 0.1], 2, **kw)
     assert got.keys() == want.keys() and all(got[lam] == pytest.approx(want[lam], rel=1e-6) for lam in got)
+
+
+def test_rank1_from_rows(spark, monkeypatch):
+    x, y, w, df = row_design(spark)
+    monkeypatch.setattr(gm, "MOST_PARAMS", 5)
+    g = gm.Gram(x.T @ (w[:, None] * x), x.T @ (w * y), float(w @ y**2), 89)
+    fit = models._fit(df, "rank1", 3, 2, [1.0, 1e-3]).toPandas()
+    want = fit_path("rank1", g, 3, 2, [1.0, 1e-3], max_iter=models.MAX_ITER, tol=models.TOL).fit
+    assert np.allclose(fit["coefficient"], want.beta()) and (fit["best_lambda"] == 1e-3).all()
