@@ -323,3 +323,27 @@ def test_rank1_from_rows(spark, monkeypatch):
     fit = models._fit(df, "rank1", 3, 2, [1.0, 1e-3]).toPandas()
     want = fit_path("rank1", g, 3, 2, [1.0, 1e-3], max_iter=models.MAX_ITER, tol=models.TOL).fit
     assert np.allclose(fit["coefficient"], want.beta()) and (fit["best_lambda"] == 1e-3).all()
+
+
+def test_rows_of_a_design_are_made_without_a_shuffle_of_products(spark, monkeypatch):
+    from varloom.operators import sparse as sp
+
+    rng = np.random.default_rng(5)
+    n, k, l = 80, 4, 2
+    m = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.1), 1)
+    m = m + m.T + np.eye(n)
+    a = rng.random((n, k * l)) * (rng.random((n, k * l)) < 0.3)
+    a[70:] = 0  # vectors without an entry
+    cells = lambda x, names: spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], names)
+    rows = spark.createDataFrame([(i, i % 3, None if i == 7 else i % 5, i % 2, float(i), 1.0 + i) for i in range(0, n, 2)], "row long, fold int, chrom int, region long, y double, w double")
+    monkeypatch.setattr(sp, "SPAN", 32)
+    monkeypatch.setattr(sp, "PRODUCTS", 64)
+    for extra in (0, l):
+        x = sp.row_lists(cells(m, "row_idx long, col_idx long, r2 double"), cells(a, "variant_idx long, p long, value double"), rows, 0.1, k * l + extra, extra)
+        got = np.zeros((n, k * l + extra + 1))
+        for r in x.collect():
+            assert (r.y, r.w, r.fold) == (r.row, 1 + r.row, r.row % 3) and r.ps == sorted(set(r.ps))
+            got[r.row, r.ps] = r.xs
+        want = 0.1 * np.hstack([m @ a, *([m @ a.reshape(n, k, l).sum(axis=1)] if extra else []), m.sum(axis=1, keepdims=True)])
+        want[1::2] = 0
+        assert np.allclose(got, want)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Rows of a matrix that are multiplied in one task, by their index, and products that are made at once.
+SPAN, PRODUCTS = 4_096, 2_000_000
+
 
 def clean_triples(df: DataFrame) -> DataFrame:
     """``variant_idx, gene_idx, mechanism_idx, value``: the largest finite value >= 0 of each key; rows without a gene are left out."""
@@ -46,6 +53,115 @@ def spmv(matrix: DataFrame, vector: DataFrame, value: str | Column = "value", ex
     return matrix.join(v, "col_idx").groupBy("row_idx", *extra).agg(F.sum(F.col("r2") * F.col("_v")).alias(out))
 
 
+def row_lists(matrix: DataFrame, vectors: DataFrame, rows: DataFrame, scale: float, last: int, contexts: int = 0) -> DataFrame:
+    """``rows`` (``row, fold, chrom, region, y, w``, whole numbers and doubles) with the arrays ``ps, xs`` of their products with sparse ``vectors`` (``variant_idx, p, value``).
+
+    Parameter ``last`` is the row's sum; with ``contexts`` the values are also summed by ``p % contexts``, as the parameters before ``last``.
+    Rows of neighbouring indices share a task, which gets each vector's entries once, so the products are not shuffled,
+    however many there are. Any index may meet any other.
+    """
+    part = lambda c: F.floor(F.col(c) / SPAN)
+    m = matrix.where(F.col("row_idx").isNotNull() & F.col("col_idx").isNotNull())
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    v = vectors.groupBy(F.col("variant_idx").alias("a")).agg(F.collect_list(F.struct("p", "value")).alias("_v"))
+    to = m.groupBy(F.col("col_idx").alias("a")).agg(F.collect_set(part("row_idx")).alias("_to"))
+    lists = v.join(to, "a").select(F.explode("_to").alias("part"), F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"), F.col("_v.p").alias("ps"), F.col("_v.value").alias("vs"))
+    long = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long"))
+    own = rows.where(F.col("row").isNotNull()).select(part("row"), F.lit(1), "row", F.col("fold").cast("long"), F.lit(0.0), F.array(long("chrom"), long("region")), F.array(F.col("y").cast("double"), F.col("w").cast("double")))
+    pairs = m.select(part("row_idx"), F.lit(2), "row_idx", "col_idx", "r2", none("bigint"), none("double"))
+    both = lists.union(own).union(pairs).repartition("part").sortWithinPartitions("part", "kind", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, lists_, rows_ = None, [], None, None
+
+        def arrays(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+            c = b.column(k)
+            return np.diff(c.offsets.to_numpy()), c.flatten().to_numpy(zero_copy_only=False)
+
+        def joined(parts: list) -> tuple:
+            return tuple(np.concatenate(x) for x in zip(*parts))
+
+        def products(pieces: list) -> Iterator[pa.RecordBatch]:
+            a, b, r = joined(pieces)
+            col, size, ps, vs = lists_
+            if rows_ is None:
+                return
+            on = np.isin(a, rows_[0])
+            a, b, r = a[on], b[on], r[on]
+            if not len(a):
+                return
+            row, own_ = np.unique(a, return_inverse=True)
+            k = np.minimum(np.searchsorted(col, b), max(len(col) - 1, 0))
+            hit = np.flatnonzero(col[k] == b) if len(col) else np.zeros(0, dtype=np.int64)
+            k, n = k[hit], size[k[hit]]
+            first = np.cumsum(size) - size
+            take = np.arange(int(n.sum())) + np.repeat(first[k] - (np.cumsum(n) - n), n)
+            p, x, o = ps[take], vs[take] * np.repeat(r[hit], n), np.repeat(own_[hit], n)
+            if contexts:
+                p, x, o = np.append(p, last - contexts + p % contexts), np.append(x, x), np.append(o, o)
+            p, x, o = np.append(p, np.full(len(a), last)), np.append(x, r), np.append(o, own_)
+            key = o * (last + 1) + p
+            order = np.argsort(key, kind="stable")
+            key, x = key[order], x[order]
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, x = key[edge], scale * np.add.reduceat(x, edge)
+            offsets = np.append(np.searchsorted(key // (last + 1), np.arange(len(row))), len(key)).astype(np.int32)
+            i = np.searchsorted(rows_[0], row)
+            out = [pa.array(row), *[pa.array(np.ascontiguousarray(c[i])) for c in rows_[1:]]]
+            yield pa.RecordBatch.from_arrays([*out, pa.ListArray.from_arrays(offsets, pa.array(key % (last + 1))), pa.ListArray.from_arrays(offsets, pa.array(x))], names=["row", "fold", "chrom", "region", "y", "w", "ps", "xs"])
+
+        def blocks(final: bool) -> Iterator[pa.RecordBatch]:
+            """Products of whole rows, as many as are made at once."""
+            if not held:
+                return
+            a, b, r = joined(held)
+            end = len(a) if final else int(np.searchsorted(a, a[-1]))
+            k = np.minimum(np.searchsorted(lists_[0], b[:end]), max(len(lists_[0]) - 1, 0))
+            made = np.cumsum(1 + (lists_[1][k] if len(lists_[0]) else 0) * np.ones(end, dtype=np.int64))
+            lo = 0
+            while lo < end:
+                hi = int(np.searchsorted(made, (made[lo - 1] if lo else 0) + PRODUCTS)) + 1
+                hi = min(end, int(np.searchsorted(a[:end], a[min(hi, end) - 1], side="right")))
+                yield from products([(a[lo:hi], b[lo:hi], r[lo:hi])])
+                lo = hi
+            held[:] = [(a[end:], b[end:], r[end:])] if end < len(a) else []
+
+        found: list = [[], []]
+        for batch in batches:
+            parts = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi in _stretches(parts):
+                if parts[lo] != at:
+                    yield from blocks(True)
+                    at, found, lists_, rows_ = parts[lo], [[], []], None, None
+                piece = batch.slice(lo, hi - lo)
+                kinds, a = piece.column(1).to_numpy(), piece.column(2).to_numpy()
+                x, y = (int(np.searchsorted(kinds, k)) for k in (1, 2))
+                if x:
+                    q = piece.slice(0, x)
+                    n, p = arrays(q, 5)
+                    found[0].append((a[:x], n, p, arrays(q, 6)[1]))
+                if y > x:
+                    q = piece.slice(x, y - x)
+                    g, w = arrays(q, 5)[1].reshape(-1, 2), arrays(q, 6)[1].reshape(-1, 2)
+                    found[1].append((a[x:y], q.column(3).to_numpy(), g[:, 0], g[:, 1], w[:, 0], w[:, 1]))
+                if y < len(a):
+                    if lists_ is None:
+                        none_ = np.zeros(0, dtype=np.int64)
+                        lists_, rows_ = joined(found[0]) if found[0] else (none_, none_, none_, np.zeros(0)), joined(found[1]) if found[1] else None
+                    held.append((a[y:], piece.column(3).to_numpy()[y:], piece.column(4).to_numpy()[y:]))
+                    if sum(len(h[0]) for h in held) >= PRODUCTS // 8:
+                        yield from blocks(False)
+        yield from blocks(True)
+
+    return both.mapInArrow(run, "row long, fold long, chrom long, region long, y double, w double, ps array<long>, xs array<double>")
+
+
+def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of equal values."""
+    edge = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return [(a, b) for a, b in zip(edge, edge[1:]) if b > a]
+
+
 def ld_score(matrix: DataFrame) -> DataFrame:
     """``row_idx, ld_score``: row sums."""
     return matrix.groupBy("row_idx").agg(F.sum("r2").alias("ld_score"))

@@ -132,7 +132,7 @@ class Sum(Quadratic):
 
 @dataclass
 class Chunk:
-    """Rows of a design that have non-zeros, kept by row (``starts, p, x``) and by parameter (``cols, at, rows, by_col``)."""
+    """Rows of a design that have non-zeros; ``p`` becomes places in ``cols``, the parameters that occur."""
 
     counts: np.ndarray
     p: np.ndarray
@@ -143,14 +143,12 @@ class Chunk:
 
     def __post_init__(self) -> None:
         self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
-        order = np.argsort(self.p, kind="stable")
-        self.cols, self.at = np.unique(self.p[order], return_index=True)
-        self.rows = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)[order]
-        self.by_col = self.x[order]
+        self.cols, p = np.unique(self.p, return_inverse=True)
+        self.p = p.astype(np.int32)
 
     def mapped(self, folder: str) -> "Chunk":
         """The same with the long arrays in files."""
-        for name in ("p", "x", "rows", "by_col"):
+        for name in ("p", "x"):
             a = getattr(self, name)
             path = os.path.join(folder, f"{len(os.listdir(folder))}.bin")
             a.tofile(path)
@@ -158,16 +156,16 @@ class Chunk:
         return self
 
     def times(self, z: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.x * z[self.p], self.starts)
+        return np.add.reduceat(self.x * z[self.cols][self.p], self.starts)
 
     def back(self, u: np.ndarray, out: np.ndarray) -> None:
-        out[self.cols] += np.add.reduceat(self.by_col * u[self.rows], self.at)
+        out[self.cols] += np.bincount(self.p, self.x * np.repeat(u, self.counts), minlength=len(self.cols))
 
     def end(self, first: int, width: int) -> np.ndarray:
         """The last parameters' columns, dense."""
-        on = np.flatnonzero(self.p >= first)
+        on = np.flatnonzero(self.p >= np.searchsorted(self.cols, first))
         out = np.zeros((len(self.counts), width))
-        np.add.at(out, (np.searchsorted(self.starts, on, side="right") - 1, self.p[on] - first), self.x[on])
+        np.add.at(out, (np.searchsorted(self.starts, on, side="right") - 1, self.cols[self.p[on]] - first), self.x[on])
         return out
 
 
@@ -241,7 +239,7 @@ def gram_entries(design: DataFrame, by: list[str], near: list[str] | str = "regi
     """
     near = [near] if isinstance(near, str) else near
     keys = list(dict.fromkeys([*by, *near]))
-    rows = design.groupBy(*keys, "row").agg(F.collect_list("p").alias("ps"), F.collect_list("x").alias("xs"), F.first("y").alias("y"), F.first("w").alias("w"))
+    rows = design if "ps" in design.columns else design.groupBy(*keys, "row").agg(F.collect_list("p").alias("ps"), F.collect_list("x").alias("xs"), F.first("y").alias("y"), F.first("w").alias("w"))
     rows = rows.where("w != 0").repartition(*keys).sortWithinPartitions(*keys)
     rows = rows.select(*by, "ps", "xs", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by]
@@ -323,10 +321,12 @@ def fetch(entries: DataFrame, n_params: int, by: str | None = None) -> Quadratic
 
 
 def pack(design: DataFrame, block: str | None = None) -> DataFrame:
-    """``block, data`` for a ``design`` of ``row, p, x, y, w`` (and ``fold``, ``block``): the rows with a weight as packed arrays, staged."""
-    fold, key = (F.first(c).cast("long") if c in design.columns else F.lit(0).cast("long") for c in ("fold", block or ""))
-    rows = design.groupBy("row").agg(key.alias("block"), fold.alias("fold"), F.first(F.col("y").cast("double")).alias("y"), F.first(F.col("w").cast("double")).alias("w"), F.collect_list("p").alias("ps"), F.collect_list("x").alias("xs"))
-    rows = rows.where("w != 0").select("block", "fold", "y", "w", "ps", "xs")
+    """``block, data`` for a ``design`` of ``row, p, x, y, w`` (and ``fold``, ``block``) or, by rows, ``row, ps, xs, y, w``: the rows with a weight as packed arrays, staged."""
+    fold, key = (F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")) if c in design.columns else F.lit(0).cast("long") for c in ("fold", block or ""))
+    rows = design.withColumns({"_block": key, "_fold": fold, "y": F.col("y").cast("double"), "w": F.col("w").cast("double")})
+    if "ps" not in design.columns:
+        rows = rows.groupBy("row").agg(*[F.first(c).alias(c) for c in ("_block", "_fold", "y", "w")], F.collect_list("p").alias("ps"), F.collect_list("x").alias("xs"))
+    rows = rows.where("w != 0").select(F.col("_block").alias("block"), F.col("_fold").alias("fold"), "y", "w", "ps", "xs")
     rows = rows.sortWithinPartitions("block") if block else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
