@@ -347,3 +347,19 @@ def test_rows_of_a_design_are_made_without_a_shuffle_of_products(spark, monkeypa
         want = 0.1 * np.hstack([m @ a, *([m @ a.reshape(n, k, l).sum(axis=1)] if extra else []), m.sum(axis=1, keepdims=True)])
         want[1::2] = 0
         assert np.allclose(got, want)
+
+
+def test_a_null_block_is_a_block_of_its_own(spark):
+    df = row_design(spark)[3].withColumn("chrom", F.when(F.col("chrom") > 0, F.col("chrom")))
+    assert len(gm.rows_of(gm.pack(df, "chrom").toLocalIterator(), 7, True).blocks) == 5
+
+
+def test_the_curvature_of_a_rank_one_step_needs_no_product_back(spark, monkeypatch):
+    x, y, w, df = row_design(spark)
+    rows = gm.rows_of(gm.pack(df).toLocalIterator(), 7, False)
+    beta = np.random.default_rng(1).random(7)
+    assert rows.square(beta) == pytest.approx(beta @ rows.dot(beta))
+    back = []
+    monkeypatch.setattr(gm.Chunk, "back", lambda c, u, out, f=gm.Chunk.back: (back.append(1), f(c, u, out)))
+    fit = fit_rank1(rows, 3, 2, 1e-3, max_iter=30)
+    assert fit.info["iterations"] == 30 and len(back) <= 32  # one a step, the response and the end's column

@@ -329,7 +329,7 @@ def fit_rank1(loss: Quadratic, k: int, l: int, lam: float, s0: np.ndarray | None
         slope, gene = place.slope(c), it % 2 == 0
         d = slope @ w if gene else slope.T @ s
         along = np.outer(d, w) if gene else np.outer(s, d)
-        bend = 2 / split.n * float(along.ravel() @ split.at(along).product[: split.p])
+        bend = 2 / split.n * split.loss.square(np.append(along.ravel(), np.zeros(split.loss.size - split.p)))
         t = float(along.ravel() @ slope.ravel()) / bend if bend > 0 else 0.0
         t = t if lr is None else min(t, lr)
         if gene:

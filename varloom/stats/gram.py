@@ -53,6 +53,10 @@ class Quadratic:
     def dot(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def square(self, x: np.ndarray) -> float:
+        """``x'gx``."""
+        return float(x @ self.dot(x))
+
     def columns(self, which: Iterable[int]) -> np.ndarray:
         unit = lambda j: np.bincount([j], minlength=self.size).astype(float)
         return np.stack([self.dot(unit(j)) for j in which], axis=1)
@@ -195,6 +199,9 @@ class Rows(Quadratic):
     def dot(self, x: np.ndarray) -> np.ndarray:
         return self._back(lambda c: c.times(x))
 
+    def square(self, x: np.ndarray) -> float:
+        return float(sum(w @ c.times(x) ** 2 for c, w in zip(self.chunks, self.weights)))
+
     def loss(self, beta: np.ndarray) -> float:
         return float(sum(w @ (c.y - c.times(beta)) ** 2 for c, w in zip(self.chunks, self.weights)) / max(self.n, 1))
 
