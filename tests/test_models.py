@@ -363,3 +363,27 @@ def test_the_curvature_of_a_rank_one_step_needs_no_product_back(spark, monkeypat
     monkeypatch.setattr(gm.Chunk, "back", lambda c, u, out, f=gm.Chunk.back: (back.append(1), f(c, u, out)))
     fit = fit_rank1(rows, 3, 2, 1e-3, max_iter=30)
     assert fit.info["iterations"] == 30 and len(back) <= 32  # one a step, the response and the end's column
+
+
+def test_the_whole_gram_is_made_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(gm, "TILE", 3)
+    monkeypatch.setattr(gm, "ROWS", 7)
+    rng = np.random.default_rng(2)
+    x = rng.random((90, 12)) * (rng.random((90, 12)) < 0.5)
+    for j in range(4):
+        x[np.arange(90) % 5 != j, j] = 0  # parameters of one group
+    y, w = rng.random(90), rng.random(90) + 0.5
+    w[4] = 0
+    rows = [(None if i % 5 == 2 else i % 5, 1, i, [int(j) for j in np.flatnonzero(x[i])], [float(v) for v in x[i][x[i] != 0]], float(y[i]), float(w[i])) for i in range(90)]
+    df = spark.createDataFrame(rows, "chrom int, region long, row long, ps array<long>, xs array<double>, y double, w double")
+    got = gm.whole_gram(df, ["chrom", "region"]).toPandas()
+    assert not got.duplicated(["p", "q"]).any() and len(got) <= 12 * 13 // 2 + 14
+    at = {(r.p, r.q): r.value for r in got.itertuples()}
+    m = np.hstack([y[:, None], x])
+    g = m.T @ (w[:, None] * m)
+    assert at.pop((-2, -2)) == 89
+    want = {(i - 1, j - 1): g[i, j] for i in range(13) for j in range(i, 13) if g[i, j]}
+    assert at.keys() == want.keys() and all(at[k] == pytest.approx(want[k]) for k in at)
+    # a block of few rows with many parameters goes out tile by tile there too
+    long = df.select("chrom", "region", "row", "y", "w", F.explode(F.arrays_zip("ps", "xs")).alias("r")).select("chrom", "region", "row", "y", "w", F.col("r.ps").alias("p"), F.col("r.xs").alias("x"))
+    assert {(r.p, r.q): pytest.approx(r.value) for r in gm.gram_entries(long, [], ["chrom", "region"]).collect()} == {(r.p, r.q): r.value for r in got.itertuples()}

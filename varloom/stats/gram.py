@@ -13,6 +13,7 @@ needs are also made from the rows themselves (``Rows``), whose number of non-zer
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import shutil
 import tempfile
@@ -281,16 +282,90 @@ def gram_entries(design: DataFrame, by: list[str], near: list[str] | str = "regi
                     m[:, -1] = y[at:end]
                     called = np.append(params, -1)
                     for s in (0, 1) if unweighted else (0,):
-                        blocks = [*_products(m, w[at:end] if s == 0 else np.ones(end - at), called), (np.array([-2]), np.array([-2]), np.array([float(end - at)]))]
-                        i, j, v = (np.concatenate(c) for c in zip(*blocks))
-                        ks = [pa.array(np.full(len(i), c[at]), t) for c, t in zip(key, types)]
-                        yield pa.RecordBatch.from_arrays([*ks, pa.array(np.full(len(i), s), pa.int32()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(v)], names=names)
+                        one = (np.array([-2]), np.array([-2]), np.array([float(end - at)]))
+                        for i, j, v in itertools.chain(_products(m, w[at:end] if s == 0 else np.ones(end - at), called), [one]):  # a tile at a time is held
+                            ks = [pa.array(np.full(len(i), c[at]), t) for c, t in zip(key, types)]
+                            yield pa.RecordBatch.from_arrays([*ks, pa.array(np.full(len(i), s), pa.int32()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(v)], names=names)
                     at = end
 
     out = rows.mapInArrow(run, ", ".join([*kinds, "s int", "p long", "q long", "value double"]))
     return out.groupBy(*by, "s", "p", "q").agg(F.sum("value").alias("value"))
 
 
+def whole_gram(rows: DataFrame, near: list[str]) -> DataFrame:
+    """``p, q, value`` of all ``rows`` (``near..., row, ps, xs, y, w``, staged once), as ``gram_entries`` has them, without a shuffle of pairs that meet in one group ``near`` only.
+
+    A task multiplies a group tile by tile, each over all its rows, so a pair comes once and only a tile of them is held. A pair
+    with a parameter that no other group has is whole as it is; the others, of parameters that several groups have, are summed.
+    """
+    x = Scratch(rows.sparkSession, "gram").stage(rows.where("w != 0").select(*near, "ps", "xs", "y", "w"))
+    spread = x.select(*near, F.explode("ps").alias("p")).groupBy(*near, "p").agg(F.lit(1).alias("_")).groupBy("p").agg(F.collect_list(F.struct(*near)).alias("_n")).where(F.size("_n") > 1)
+    shared = spread.select(F.explode("_n").alias("_n"), "p").groupBy(*[F.col(f"_n.{k}").alias(k) for k in near]).agg(F.collect_list("p").alias("ps"))
+    none = F.lit(None).cast("array<double>")
+    both = shared.select(*near, F.lit(0).alias("kind"), "ps", none.alias("xs"), F.lit(0.0).alias("y"), F.lit(0.0).alias("w")).union(x.select(*near, F.lit(1), "ps", "xs", "y", "w"))
+    both = both.repartition(*near).sortWithinPartitions(*near, "kind")
+    at = len(near)
+
+    def entries(held: list[pa.RecordBatch], common: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        known = [b.column(at + 1).flatten().to_numpy() for b in held if b.column(at)[0].as_py() == 0]
+        known = np.unique(np.concatenate([[-1], *known])).astype(np.int64)
+        held = [b for b in held if b.column(at)[0].as_py() == 1]
+        counts, p, x, y, w = (np.concatenate(c) for c in zip(*((np.diff(b.column(at + 1).offsets.to_numpy()), b.column(at + 1).flatten().to_numpy(), b.column(at + 2).flatten().to_numpy(), b.column(at + 3).to_numpy(), b.column(at + 4).to_numpy()) for b in held)))
+        n = len(counts)
+        row = np.append(np.repeat(np.arange(n), counts), np.arange(n))  # the response is parameter -1
+        p, x = np.append(p, np.full(n, -1)), np.append(x, y)
+        if common:
+            on = np.isin(p, known)
+            row, p, x = row[on], p[on], x[on]
+            yield np.array([-2]), np.array([-2]), np.array([float(n)])
+        names, p = np.unique(p, return_inverse=True)
+        own = ~np.isin(names, known)
+        order = np.argsort(p, kind="stable")
+        row, p, x = row[order], p[order], x[order]
+
+        def dense(a: int, lo: int, hi: int) -> np.ndarray:
+            i, j = np.searchsorted(p, [a, a + TILE])
+            keep = slice(i, j) if hi - lo == n else np.arange(i, j)[(row[i:j] >= lo) & (row[i:j] < hi)]
+            out = np.zeros((hi - lo, min(TILE, len(names) - a)))
+            np.add.at(out, (row[keep] - lo, p[keep] - a), x[keep])
+            return out
+
+        for a in range(0, len(names), TILE):
+            for b in range(a, len(names), TILE):
+                g = 0.0
+                for lo in range(0, n, ROWS):
+                    hi = min(n, lo + ROWS)
+                    left = dense(a, lo, hi)
+                    g = g + (left * w[lo:hi, None]).T @ (left if a == b else dense(b, lo, hi))
+                g = np.triu(g) if a == b else g
+                i, j = np.nonzero(g if common else g * (own[a : a + TILE, None] | own[None, b : b + TILE]))
+                yield names[a + i], names[b + j], g[i, j]
+
+    def run(common: bool) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def made() -> Iterator[pa.RecordBatch]:
+                if any(b.column(at)[b.num_rows - 1].as_py() == 1 for b in held):
+                    for i, j, v in entries(held, common):
+                        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(v)], names=["p", "q", "value"])
+
+            held, last = [], None
+            for b in batches:
+                keys = np.stack([b.column(k).fill_null(-1).to_numpy().astype(np.int64) for k in [*range(at + 1)]], axis=1)
+                edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+                for lo, hi in zip(edge, edge[1:]):
+                    if hi > lo:
+                        if last is not None and tuple(keys[lo, :at]) != last:
+                            yield from made()
+                            held = []
+                        last = tuple(keys[lo, :at])
+                        held.append(b.slice(lo, hi - lo))
+            yield from made()
+
+        return both.mapInArrow(each, "p long, q long, value double")
+
+    return run(False).union(run(True).groupBy("p", "q").agg(F.sum("value").alias("value")))
+
+
 def load(entries: pd.DataFrame | pa.Table, n_params: int) -> Quadratic:
     """A Gram from its entries on the driver; refuses models above ``MOST_PARAMS``."""
     if n_params > MOST_PARAMS:
