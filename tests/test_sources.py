@@ -1,6 +1,7 @@
 import gzip
 import json
 import os
+import re
 
 import numpy as np
 import pytest
@@ -168,3 +169,35 @@ def test_results_of_runs(spark, tmp_path):
     for bad in (["a"], ["=1"], ["a="], ["a=1", "a=2"]):
         with pytest.raises(ValueError):
             name_values(bad)
+
+
+def test_hits_of_loaders_are_not_shuffled(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    g = spark.createDataFrame([(1 + i % 2, 40 * i, f"rs{i}") for i in range(60)], "chrom int, pos long, snp string")
+    spans = [(1 + rng.randrange(2), s := rng.randrange(2400), s + rng.randrange(300), rng.choice("GHI"), rng.random(), rng.choice("ab")) for _ in range(60)]
+    links = spark.createDataFrame([(*x, None) for x in spans], "chrom int, start long, end long, gene string, score double, cell_type string, is_self_promoter string")
+    peaks = spark.createDataFrame([(x[0], x[1], x[2], x[5]) for x in spans[:12]], "chrom int, start long, end long, context string")
+    starts = [(1 + i % 2, rng.randrange(2400), rng.choice("GHI"), rng.choice("abc")) for i in range(20)]
+    tss = spark.createDataFrame(starts, "chrom int, tss long, gene string, context string")
+    at = {(c, p): i for i, (c, p) in enumerate(sorted((1 + i % 2, 40 * i) for i in range(60)))}
+    for many in (100, 1):  # genes' numbers broadcast, or joined
+        monkeypatch.setattr(an, "MOST_GENES", many)
+        monkeypatch.setattr(an, "FIRST_LINKS", many)
+        a, b = an.from_links(links, g), an.from_peaks_and_genes(peaks, tss, g, ["a", "b"], 150)
+        want = [{}, {}]
+        for (c, p), v in at.items():
+            for chrom, s, e, gene, score, cell in spans:
+                if chrom == c and s <= p <= e and score >= 0.015:
+                    k = (v, "GHI".index(gene), "ab".index(cell) + 1)
+                    want[0][k], want[0][k[0], k[1], 0] = max(score, want[0].get(k, 0)), 1.0
+            for m in "ab":
+                if any(x[0] == c and x[1] <= p <= x[2] and x[5] == m for x in spans[:12]):
+                    for chrom, t, gene, context in starts:
+                        if chrom == c and context == m and abs(t - p) <= 150:
+                            want[1][v, "GHI".index(gene), "ab".index(m) + 1] = want[1][v, "GHI".index(gene), 0] = 1.0
+        for x, w in zip((a, b), want):
+            rows = x.triples.collect()
+            assert len(rows) == len(w) and {(r.variant_idx, r.gene_idx, r.mechanism_idx): r.value for r in rows} == w
+            assert not re.search(r"hashpartitioning\(variant_idx#\d+L?, gene_idx", x.triples._jdf.queryExecution().executedPlan().toString())

@@ -43,15 +43,16 @@ def range_join(points: DataFrame, intervals: DataFrame, on: list[str], pos: str,
     return pt.join(iv, on_all, "inner").drop("_pw", "_pbin", "_w", "_bin", *[f"_k{i}" for i in range(len(on))])
 
 
-def range_max(points: DataFrame, intervals: DataFrame, on: list[str], pos: str, start: str, end: str, by: list[str], value: str, each: Column | None = None, width: int = 1024) -> DataFrame:
+def range_max(points: DataFrame, intervals: DataFrame, on: list[str], pos: str, start: str, end: str, by: list[str], value: str, each: Column | None = None, width: int = 1024, whole: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
     """Points with the largest ``value`` of each group ``by`` of the intervals that hold them (closed, of whole numbers): one row for each row of ``points`` and group.
 
     Intervals are cut at the edges of bins and, within a bin and group, into stretches that do not overlap, each with its
     largest value. So no pair comes twice, and only intervals and points are shuffled, not the pairs. ``each`` is an array
-    of structs of ``by`` and ``value`` that stands for an interval's own; it is made after the shuffle.
+    of structs of ``by`` and ``value`` that stands for an interval's own; it is made after the shuffle. ``whole`` gives the array
+    of all distinct values instead of the largest. ``size`` is the number of intervals and the sum of their lengths, if known.
     """
     iv = intervals.where(F.col(end) >= F.col(start))
-    n, length = iv.agg(F.count(F.lit(1)), F.sum(F.col(end) - F.col(start) + 1)).first()
+    n, length = size if size is not None else iv.agg(F.count(F.lit(1)), F.sum(F.col(end) - F.col(start) + 1)).first()
     w = max(width, -(-int(length) // n)) if n else width  # at most two pieces an interval, on average
     iv = iv.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], *by, F.col(value).alias("_v"), F.col(start).alias("_s"), F.col(end).alias("_e"))
     iv = iv.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / F.lit(w)), F.floor(F.col("_e") / F.lit(w)))))
@@ -64,9 +65,9 @@ def range_max(points: DataFrame, intervals: DataFrame, on: list[str], pos: str,
     edges = F.array_sort(F.array_distinct(F.flatten(F.transform("_p", lambda x: F.array(x["lo"], x["hi"] + 1)))))
     g = g.withColumn("_c", F.when(F.size("_p") > 1, edges))
     held = lambda at: F.filter("_p", lambda x: (x["lo"] <= at) & (x["hi"] >= at))
-    cut = F.transform(F.sequence(F.lit(0), F.size("_c") - 2), lambda i: F.struct(F.get("_c", i).alias("lo"), (F.get("_c", i + 1) - 1).alias("hi"), F.array_max(F.transform(held(F.get("_c", i)), lambda x: x["v"])).alias("v"), (F.size(held(F.get("_c", i))) > 0).alias("on")))
-    whole = F.transform("_p", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), x["v"].alias("v"), F.lit(True).alias("on")))
-    g = g.select(*keys, *by, F.explode(F.when(F.col("_c").isNull(), whole).otherwise(cut)).alias("_x")).where("_x.on")
+    cut = F.transform(F.sequence(F.lit(0), F.size("_c") - 2), lambda i: F.struct(F.get("_c", i).alias("lo"), (F.get("_c", i + 1) - 1).alias("hi"), (F.array_distinct if whole else F.array_max)(F.transform(held(F.get("_c", i)), lambda x: x["v"])).alias("v"), (F.size(held(F.get("_c", i))) > 0).alias("on")))
+    one = F.transform("_p", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), (F.array(x["v"]) if whole else x["v"]).alias("v"), F.lit(True).alias("on")))
+    g = g.select(*keys, *by, F.explode(F.when(F.col("_c").isNull(), one).otherwise(cut)).alias("_x")).where("_x.on")
     pt = points.withColumn("_pbin", F.floor(F.col(pos) / F.lit(w)))
     cond = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)] + [F.col("_pbin") == F.col("_bin"), F.col(pos) >= F.col("_x.lo"), F.col(pos) <= F.col("_x.hi")]
     return pt.join(g, reduce(lambda a, b: a & b, cond)).select(*points.columns, *by, F.col("_x.v").alias(value))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import annotation_value, keeps_self_promoter, member, variant_id
 from ..operators.index import dense_index
-from ..operators.joins import band_join, first_per, range_join
+from ..operators.intervals import merge_periods
+from ..operators.joins import first_per, range_join, range_max
 from ..sources.tables import LINE
 
+#: Most genes whose numbers are broadcast (beyond, a join), and links that are looked at first for any overlap.
+MOST_GENES, FIRST_LINKS = 2_000_000, 1_000
+
 
 @dataclass
 class Annotation:
@@ -30,19 +34,35 @@ def number_variants(gwas: DataFrame) -> DataFrame:
     return dense_index(v, [F.col("chrom"), F.col("pos")], "variant_idx")
 
 
+def _numbered(genes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """``gene, gene_idx``: numbered by name, or by a gene's first row in the order of some columns."""
+    first = genes.groupBy("gene").agg(F.min(F.struct(*order)).alias("_f")) if order else genes.select("gene").distinct()
+    return dense_index(first, ([F.col("_f")] if order else []) + [F.col("gene")], "gene_idx").select("gene", "gene_idx")
+
+
+def _names(mechanisms: list[str], intercept: bool) -> list[str]:
+    return (["intercept"] if intercept else []) + [m for m in mechanisms if m != "intercept"]
+
+
+def _place(names: list[str], mechanism: str = "mechanism") -> Column:
+    return F.create_map(*[x for i, m in enumerate(names) for x in (F.lit(m), F.lit(i))])[F.col(mechanism)]
+
+
+def _with_numbers(df: DataFrame, genes: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(genes) if genes.count() <= MOST_GENES else genes, "gene").drop("gene")
+
+
 def _finish(variants: DataFrame, hits: DataFrame, genes: DataFrame, mechanisms: list[str], intercept: bool, order: list[str] | None = None) -> Annotation:
     """``hits`` is ``variant_idx, gene, mechanism, value``; ``genes`` has ``gene``. The largest value of a key counts.
 
     Genes are numbered by name, or by their first row in the order of some columns of ``genes``.
     """
-    names = (["intercept"] if intercept else []) + [m for m in mechanisms if m != "intercept"]
+    names = _names(mechanisms, intercept)
     if intercept:
         both = F.array(F.struct(F.col("mechanism").alias("m"), F.col("value").alias("v")), F.struct(F.lit("intercept").alias("m"), F.lit(1.0).alias("v")))
         hits = hits.select("variant_idx", "gene", F.explode(both).alias("r")).select("variant_idx", "gene", F.col("r.m").alias("mechanism"), F.col("r.v").alias("value"))
-    first = genes.groupBy("gene").agg(F.min(F.struct(*order)).alias("_f")) if order else genes.select("gene").distinct()
-    g = dense_index(first, ([F.col("_f")] if order else []) + [F.col("gene")], "gene_idx").select("gene", "gene_idx")
-    at = F.create_map(*[x for i, m in enumerate(names) for x in (F.lit(m), F.lit(i))])
-    t = hits.where(F.col("mechanism").isin(names)).join(g, "gene").groupBy("variant_idx", "gene_idx", at[F.col("mechanism")].alias("mechanism_idx")).agg(F.max("value").alias("value"))
+    g = _numbered(genes, order)
+    t = hits.where(F.col("mechanism").isin(names)).join(g, "gene").groupBy("variant_idx", "gene_idx", _place(names).alias("mechanism_idx")).agg(F.max("value").alias("value"))
     return Annotation(variants, g, names, t)
 
 
@@ -50,19 +70,29 @@ def from_links(links: DataFrame, gwas: DataFrame, min_score: float = 0.015, cell
     """Variants inside scored links. Genes without a variant keep their number; no overlap at all is an error.
 
     Links that were read with their places number genes and cell types as the file first shows them, on the variants' chromosomes.
+    Genes get their number before the join, which gives each variant its largest values, so the hits are not shuffled.
     """
     v = number_variants(gwas)
+    points = v.select("variant_idx", "chrom", "pos")
     x = links.where((F.col("score") >= min_score) & member("cell_type", cell_types))
     if exclude_self_promoter:
         x = x.where(keeps_self_promoter("is_self_promoter"))
-    hits = range_join(v.select("variant_idx", "chrom", "pos"), x, ["chrom"], "pos", "start", "end").select("variant_idx", "gene", F.col("cell_type").alias("mechanism"), F.col("score").alias("value"))
-    if hits.isEmpty():
-        raise ValueError("no variant lies in a link")
     order = LINE if set(LINE) <= set(links.columns) else None
     if order:
-        x = x.join(v.select("chrom").distinct(), "chrom", "left_semi")
-    seen = x.groupBy("cell_type").agg(F.min(F.struct(*(order or ["cell_type"]))).alias("f")).collect()  # the cell types
-    return _finish(v, hits, x, [r["cell_type"] for r in sorted(seen, key=lambda r: tuple(r["f"]))], intercept, order)
+        x = x.join(F.broadcast(v.select("chrom").distinct()), "chrom", "left_semi")  # the autosomes
+    good = F.col("end") >= F.col("start")
+    seen = x.groupBy("cell_type").agg(F.min(F.struct(*(order or ["cell_type"]))).alias("f"), F.count_if(good).alias("n"), F.sum(F.when(good, F.col("end") - F.col("start") + 1).otherwise(0)).alias("length")).collect()  # the cell types
+    names = _names([r["cell_type"] for r in sorted(seen, key=lambda r: tuple(r["f"])) if r["cell_type"] is not None], intercept)
+    cols = ["chrom", "start", "end"]
+    any_ = lambda some: range_join(points, some.where("gene is not null and cell_type is not null").select(*cols), ["chrom"], "pos", "start", "end")
+    if any_(x.limit(FIRST_LINKS)).isEmpty() and any_(x).isEmpty():
+        raise ValueError("no variant lies in a link")
+    g = _numbered(x, order)
+    iv = _with_numbers(x.where("cell_type is not null").select(*cols, "gene", _place(names, "cell_type").alias("mechanism_idx"), F.col("score").alias("value")), g)
+    one = lambda m, value: F.struct(F.col("gene_idx"), m.alias("mechanism_idx"), value.alias("value"))
+    both = F.array(one(F.col("mechanism_idx"), F.col("value").cast("double")), one(F.lit(0), F.lit(1.0))) if intercept else None
+    t = range_max(points, iv, ["chrom"], "pos", "start", "end", ["gene_idx", "mechanism_idx"], "value", both, size=(sum(r["n"] for r in seen), sum(r["length"] for r in seen)))
+    return Annotation(v, g, names, t.select("variant_idx", "gene_idx", "mechanism_idx", "value"))
 
 
 def peak_contexts(variants: DataFrame, peaks: DataFrame, contexts: list[str]) -> DataFrame:
@@ -75,11 +105,17 @@ def peak_contexts(variants: DataFrame, peaks: DataFrame, contexts: list[str]) ->
 
 def from_peaks_and_genes(peaks: DataFrame, tss: DataFrame, gwas: DataFrame, contexts: list[str], window: int = 100_000, intercept: bool = True) -> Annotation:
     """Variants in a context's peak, linked to the genes of that context within the window; genes without a link keep their number."""
-    v = number_variants(gwas)
-    inside = range_join(v.select("variant_idx", "chrom", "pos"), peaks, ["chrom"], "pos", "start", "end").select("variant_idx", "chrom", "pos", "context").distinct()
-    pairs = band_join(inside, tss, ["chrom", "context"], "pos", "tss", window)
-    hits = pairs.select("variant_idx", "gene", F.col("context").alias("mechanism"), F.lit(1.0).alias("value"))
-    return _finish(v, hits, tss, contexts, intercept)
+    v, names = number_variants(gwas), _names(contexts, intercept)
+    peaks = peaks.where(F.col("context").isin(names) & (F.col("end") >= F.col("start"))).select("chrom", "context", "start", (F.col("end") + 1).alias("stop"))
+    merged = merge_periods(peaks, ["chrom", "context"], "start", "stop", ["chrom", "context"])  # a variant lies in one of a context at most
+    inside = range_join(v.select("variant_idx", "chrom", "pos"), merged, ["chrom"], "pos", "from_pos", "to_pos", half_open=True)
+    points = inside.groupBy("variant_idx", "chrom", "pos").agg(F.collect_set(_place(names, "context")).alias("_in"))
+    g = _numbered(tss)
+    near = _with_numbers(tss.where(F.col("context").isin(names)).select("chrom", (F.col("tss") - window).alias("start"), (F.col("tss") + window).alias("end"), "gene", _place(names, "context").alias("m")), g)
+    pairs = range_max(points, near, ["chrom"], "pos", "start", "end", ["gene_idx"], "m", whole=True)  # a pair once, with the gene's contexts there, so pairs are not shuffled
+    both = F.array_intersect("_in", "m")
+    own = F.when(F.size(both) > 0, F.array_distinct(F.concat(F.array(F.lit(0)), both)) if intercept else both)
+    return Annotation(v, g, names, pairs.select("variant_idx", "gene_idx", F.explode(own).alias("mechanism_idx"), F.lit(1.0).alias("value")))
 
 
 def from_predicted(links: DataFrame, gwas: DataFrame, contexts: list[str], min_score: float = 0.9, intercept: bool = True) -> Annotation:

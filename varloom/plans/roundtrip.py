@@ -201,7 +201,7 @@ def peak_gene_loader(spark: SparkSession, d: str) -> DataFrame:
     p = p.withColumn("context", F.concat(F.lit("c"), F.substring("context", 1, 1)))
     t = lens.tss(spark, d).select("chrom", "tss", "gene", F.concat(F.lit("c"), (F.col("context_idx") + 1).cast("string")).alias("context"))
     a = an.from_peaks_and_genes(p, t, _lens_gwas(spark, d), names, 20_000)
-    return a.triples.join(a.genes, "gene_idx").groupBy("gene_idx", "gene", "mechanism_idx").agg(F.count(F.lit(1)).alias("n"))
+    return a.triples.groupBy("gene_idx", "mechanism_idx").agg(F.count(F.lit(1)).alias("n")).join(a.genes, "gene_idx").select("gene_idx", "gene", "mechanism_idx", "n")
 
 
 def predicted_loader(spark: SparkSession, d: str) -> DataFrame:
