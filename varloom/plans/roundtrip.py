@@ -172,12 +172,15 @@ def study_preparation(spark: SparkSession, d: str) -> DataFrame:
 
 def link_loader(spark: SparkSession, d: str) -> DataFrame:
     """Annotations of variants inside links; genes and cell types numbered as the file shows them."""
-    x = table(spark, d, "lineitem").select((1 + F.col("l_suppkey") % 22).alias("c"), ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % lens.SPAN).alias("s"), F.col("l_quantity").cast("long").alias("q"), F.concat(F.lit("G"), "l_partkey").alias("TargetGene"), F.col("l_discount").alias("ABC.Score"), F.col("l_returnflag").alias("CellType"), (F.col("l_linestatus") == "O").alias("isSelfPromoter"), *_ROW)
-    x = x.repartitionByRange(3, *_ROW).sortWithinPartitions(*_ROW, "s", "q", "`ABC.Score`", "TargetGene")
+    x = table(spark, d, "lineitem").select(*_ROW, F.col("l_quantity").cast("long").alias("q"), F.col("l_discount").alias("ABC.Score"), F.col("l_returnflag").alias("CellType"), (F.col("l_linestatus") == "O").alias("isSelfPromoter"))
+    x = x.repartitionByRange(3, *_ROW)  # what follows from these columns is made after the shuffle
+    x = x.select((1 + F.col("l_suppkey") % 22).alias("c"), ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % lens.SPAN).alias("s"), "q", F.concat(F.lit("G"), "l_partkey").alias("TargetGene"), "`ABC.Score`", "CellType", "isSelfPromoter", *_ROW)
+    x = x.sortWithinPartitions(*_ROW, "s", "q", "`ABC.Score`", "TargetGene")
     x = x.select(F.concat(F.lit("chr"), "c").alias("chr"), F.col("s").alias("start"), (F.col("s") + F.col("q") * 20).alias("end"), "TargetGene", "`ABC.Score`", "CellType", "isSelfPromoter")
-    links = tables.read_links(spark, _text(x, f"{_folder(spark)}/l.tsv"), ordered=True)
+    links = tables.read_links(spark, _text(x, f"{_folder(spark)}/l.tsv.gz", compression="gzip"), ordered=True)
     a = an.from_links(links, _lens_gwas(spark, d))
-    return a.triples.join(a.genes, "gene_idx").groupBy("gene_idx", "gene", "mechanism_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    n = a.triples.groupBy("gene_idx", "mechanism_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return n.join(a.genes, "gene_idx").select("gene_idx", "gene", "mechanism_idx", "n", "value")
 
 
 _ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
