@@ -387,3 +387,33 @@ def test_the_whole_gram_is_made_by_tiles(spark, monkeypatch):
     # a block of few rows with many parameters goes out tile by tile there too
     long = df.select("chrom", "region", "row", "y", "w", F.explode(F.arrays_zip("ps", "xs")).alias("r")).select("chrom", "region", "row", "y", "w", F.col("r.ps").alias("p"), F.col("r.xs").alias("x"))
     assert {(r.p, r.q): pytest.approx(r.value) for r in gm.gram_entries(long, [], ["chrom", "region"]).collect()} == {(r.p, r.q): r.value for r in got.itertuples()}
+
+
+def test_groups_whose_parameters_rarely_meet_are_multiplied_without_tiles(spark, monkeypatch):
+    monkeypatch.setattr(gm, "TILE", None)  # no tile of all rows and parameters is made
+    rng = np.random.default_rng(3)
+    n, size = 600, 3000
+    x = np.zeros((n, size))
+    x[np.repeat(np.arange(n), 4), rng.integers(0, size, 4 * n)] = rng.random(4 * n) + 0.1
+    x[:, 7] = rng.random(n) + 0.1  # one in all rows of both groups
+    x[np.arange(n) % 2 == 1, :7] = 0  # and some of one group
+    x[5, 8:600] = 1.0  # one long row
+    y, w = rng.random(n) - 0.5, rng.random(n) + 0.5
+    rows = [(i % 2, 1, i, [int(j) for j in np.flatnonzero(x[i])], [float(v) for v in x[i][x[i] != 0]], float(y[i]), float(w[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "chrom int, region long, row long, ps array<long>, xs array<double>, y double, w double")
+    m = np.hstack([y[:, None], x])
+    g = m.T @ (w[:, None] * m)
+    want = {(i - 1, j - 1): g[i, j] for i, j in zip(*np.nonzero(np.triu(g)))} | {(-2, -2): n}
+    for pairs in (gm.PAIRS, 300):  # 300: a parameter's products are made in several parts
+        monkeypatch.setattr(gm, "PAIRS", pairs)
+        got = gm.whole_gram(df, ["chrom", "region"]).toPandas()
+        assert not got.duplicated(["p", "q"]).any()
+        at = {(r.p, r.q): r.value for r in got.itertuples()}
+        assert at.keys() == want.keys() and np.allclose([at[k] for k in want], list(want.values()), atol=1e-12)
+    rounded = {(r.p, r.q): r.value for r in gm.whole_gram(df, ["chrom", "region"], 4).collect()}
+    assert rounded.keys() == want.keys() and all(abs(rounded[k] - want[k]) < 5.1e-5 and rounded[k] == round(rounded[k], 4) for k in want)
+
+
+def test_values_are_rounded_half_away_from_zero():
+    got = gm._rounded(np.array([0.00005, -0.00005, -0.00001, 0.00004999, 1.23456, -1.23456, 1e307]), 4)
+    assert got.tolist() == [0.0001, -0.0001, 0.0, 0.0, 1.2346, -1.2346, 1e307] and not np.signbit(got[2])

@@ -34,6 +34,8 @@ MOST_PARAMS, MOST_ENTRIES = 1_000_000, 60_000_000
 DENSE = 1_000
 #: Rows and cells of the design that a task multiplies at once, and columns of one product.
 ROWS, CELLS, TILE = 4_096, 4_000_000, 1_024
+#: Products of non-zeros that are made at once, and the part of a group's dense products from which on the dense ones are cheaper.
+PAIRS, THIN = 100_000, 1 / 100
 #: Non-zeros of a design's rows that are multiplied at once, and that a process holds in memory; more are mapped from files.
 CHUNK, IN_MEMORY = 1_000_000, 2_000_000
 
@@ -292,11 +294,66 @@ def gram_entries(design: DataFrame, by: list[str], near: list[str] | str = "regi
     return out.groupBy(*by, "s", "p", "q").agg(F.sum("value").alias("value"))
 
 
-def whole_gram(rows: DataFrame, near: list[str]) -> DataFrame:
-    """``p, q, value`` of all ``rows`` (``near..., row, ps, xs, y, w``, staged once), as ``gram_entries`` has them, without a shuffle of pairs that meet in one group ``near`` only.
-
-    A task multiplies a group tile by tile, each over all its rows, so a pair comes once and only a tile of them is held. A pair
-    with a parameter that no other group has is whole as it is; the others, of parameters that several groups have, are summed.
+def _rounded(v: np.ndarray, digits: int) -> np.ndarray:
+    """Half away from zero, without a negative zero."""
+    with np.errstate(over="ignore", invalid="ignore"):  # infinite beyond the largest double: there the value stays
+        a = np.abs(v) * 10.0**digits
+        t = np.trunc(a)
+        t += a - t >= 0.5
+    return np.where(np.isinf(a), v, np.copysign(t / 10.0**digits, v) + 0.0)
+
+
+def _thin_products(row: np.ndarray, p: np.ndarray, x: np.ndarray, w: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The non-zero entries ``i, j, value`` of the weighted products of non-zeros (sorted by ``row, p``, each once), a stretch of parameters ``i`` at a time; nothing is made for those that never meet."""
+    many = np.searchsorted(row, row, side="right") - np.arange(len(row))  # from itself to its row's end
+    by_p = np.argsort(p, kind="stable")
+    first = np.searchsorted(p[by_p], np.arange(size + 1))
+    made = np.append(0, np.cumsum(many[by_p]))
+    lo = 0
+    while lo < size:
+        hi = max(lo + 1, int(np.searchsorted(made[first], made[first[lo]] + PAIRS, side="right")) - 1)
+        width, at, parts = size - lo, first[lo], []
+        while at < first[hi]:
+            end = min(first[hi], max(at + 1, int(np.searchsorted(made, made[at] + PAIRS, side="right")) - 1))
+            e = by_p[at:end]
+            n = many[e]
+            to = np.arange(made[end] - made[at]) + np.repeat(e - (made[at:end] - made[at]), n)
+            key, v = p[to], x[to]
+            key += np.repeat((p[e] - lo) * width - lo, n)
+            v *= np.repeat(x[e] * w[row[e]], n)
+            parts.append(_sums(key, v, (hi - lo) * width))
+            if len(parts) > 1:  # of one parameter only
+                parts = [_sums(*(np.concatenate(c) for c in zip(*parts)), width)]
+            at = end
+        for k, g in parts:
+            if not g.all():
+                k, g = k[g != 0], g[g != 0]
+            i = k // width
+            k -= i * width
+            i += lo
+            k += lo
+            yield i, k, g
+        lo = hi
+
+
+def _sums(key: np.ndarray, v: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur, sorted, with the sums of their values."""
+    if cells <= 8 * len(key):
+        g = np.bincount(key, v, cells)
+        k = np.flatnonzero(g)
+        return k, g[k]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[edge], np.add.reduceat(v[order], edge)
+
+
+def whole_gram(rows: DataFrame, near: list[str], digits: int | None = None) -> DataFrame:
+    """``p, q, value`` (rounded to ``digits``) of all ``rows`` (``near..., row, ps, xs, y, w``, staged once), as ``gram_entries`` has them, without a shuffle of pairs that meet in one group ``near`` only.
+
+    A task multiplies the non-zeros of a group, or, where most parameters meet, dense tiles over all its rows, so a pair comes once
+    and only a stretch of them is held. A pair with a parameter that no other group has is whole as it is; the others, of
+    parameters that several groups have, are summed.
     """
     x = Scratch(rows.sparkSession, "gram").stage(rows.where("w != 0").select(*near, "ps", "xs", "y", "w"))
     spread = x.select(*near, F.explode("ps").alias("p")).groupBy(*near, "p").agg(F.lit(1).alias("_")).groupBy("p").agg(F.collect_list(F.struct(*near)).alias("_n")).where(F.size("_n") > 1)
@@ -320,6 +377,17 @@ def whole_gram(rows: DataFrame, near: list[str]) -> DataFrame:
             yield np.array([-2]), np.array([-2]), np.array([float(n)])
         names, p = np.unique(p, return_inverse=True)
         own = ~np.isin(names, known)
+        key, where = np.unique(row * len(names) + p, return_inverse=True)
+        x = np.bincount(where, x, len(key))
+        row, p = key // len(names), key % len(names)
+        each = np.bincount(row, minlength=n)
+        if (each * (each + 1)).sum() < THIN * n * len(names) ** 2:
+            for i, j, g in _thin_products(row, p, x, w, len(names)):
+                if not common:
+                    on = own[i] | own[j]
+                    i, j, g = i[on], j[on], g[on]
+                yield names[i], names[j], g
+            return
         order = np.argsort(p, kind="stable")
         row, p, x = row[order], p[order], x[order]
 
@@ -346,6 +414,7 @@ def whole_gram(rows: DataFrame, near: list[str]) -> DataFrame:
             def made() -> Iterator[pa.RecordBatch]:
                 if any(b.column(at)[b.num_rows - 1].as_py() == 1 for b in held):
                     for i, j, v in entries(held, common):
+                        v = v if common or digits is None else _rounded(v, digits)
                         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(v)], names=["p", "q", "value"])
 
             held, last = [], None
@@ -363,7 +432,8 @@ def whole_gram(rows: DataFrame, near: list[str]) -> DataFrame:
 
         return both.mapInArrow(each, "p long, q long, value double")
 
-    return run(False).union(run(True).groupBy("p", "q").agg(F.sum("value").alias("value")))
+    both_known = run(True).groupBy("p", "q").agg(F.sum("value").alias("value")).where("value <> 0")
+    return run(False).union(both_known if digits is None else both_known.withColumn("value", F.round("value", digits)))
 
 
 def load(entries: pd.DataFrame | pa.Table, n_params: int) -> Quadratic:
