@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom.plans import lens, models
+from varloom.session import RELEASE, Scratch
 from varloom.stats import gram as gm, simulate as sim, sldsc
 from varloom.stats.fit import CheckpointStore, Fit, cross_validate, fit_hierarchical, fit_nuclear, fit_path, fit_rank1, merge_stores, rank1_factors
 from varloom.stats.report import json_safe, summarize_run
@@ -417,3 +419,18 @@ def test_groups_whose_parameters_rarely_meet_are_multiplied_without_tiles(spark,
 def test_values_are_rounded_half_away_from_zero():
     got = gm._rounded(np.array([0.00005, -0.00005, -0.00001, 0.00004999, 1.23456, -1.23456, 1e307]), 4)
     assert got.tolist() == [0.0001, -0.0001, 0.0, 0.0, 1.2346, -1.2346, 1e307] and not np.signbit(got[2])
+
+
+def test_shuffles_of_a_staged_table_go_when_it_is_written(spark):
+    left = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    x = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    scratch = Scratch(spark)
+    before = left()
+    out = scratch.stage(x, release=True)
+    for _ in range(50):  # files are removed in the background
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and out.count() == 10 and spark.conf.get(RELEASE) == "false"
+    scratch.stage(x)
+    assert left() > before

@@ -63,13 +63,14 @@ def row_lists(matrix: DataFrame, vectors: DataFrame, rows: DataFrame, scale: flo
     part = lambda c: F.floor(F.col(c) / SPAN)
     m = matrix.where(F.col("row_idx").isNotNull() & F.col("col_idx").isNotNull())
     none = lambda kind: F.lit(None).cast(f"array<{kind}>")
-    v = vectors.groupBy(F.col("variant_idx").alias("a")).agg(F.collect_list(F.struct("p", "value")).alias("_v"))
-    to = m.groupBy(F.col("col_idx").alias("a")).agg(F.collect_set(part("row_idx")).alias("_to"))
-    lists = v.join(to, "a").select(F.explode("_to").alias("part"), F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"), F.col("_v.p").alias("ps"), F.col("_v.value").alias("vs"))
+    v = vectors.where(F.col("variant_idx").isNotNull()).groupBy(F.col("variant_idx").alias("a")).agg(F.collect_list(F.struct("p", "value")).alias("_v"))
+    to = m.where(part("row_idx") != part("col_idx")).groupBy(F.col("col_idx").alias("a")).agg(F.collect_set(part("row_idx")).alias("_to"))  # besides their own part's task
+    lists = v.join(to, "a", "left").select(F.explode(F.concat(F.array(part("a")), F.coalesce("_to", F.array().cast("array<bigint>")))).alias("part"), F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"), F.col("_v.p").alias("ps"), F.col("_v.value").alias("vs"))
     long = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long"))
     own = rows.where(F.col("row").isNotNull()).select(part("row"), F.lit(1), "row", F.col("fold").cast("long"), F.lit(0.0), F.array(long("chrom"), long("region")), F.array(F.col("y").cast("double"), F.col("w").cast("double")))
     pairs = m.select(part("row_idx"), F.lit(2), "row_idx", "col_idx", "r2", none("bigint"), none("double"))
     both = lists.union(own).union(pairs).repartition("part").sortWithinPartitions("part", "kind", "a")
+    both = both.withColumns({c: F.coalesce(c, F.array().cast(f"array<{kind}>")) for c, kind in (("ps", "bigint"), ("vs", "double"))})  # the size of a batch is asked for at every row, which walks over all nulls at its end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, lists_, rows_ = None, [], None, None

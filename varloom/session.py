@@ -51,6 +51,10 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Spark's setting for the end of a query.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written between the rounds of an iterative plan.
 
@@ -68,14 +72,20 @@ class Scratch:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def stage(self, df: DataFrame) -> DataFrame:
+    def stage(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """``release``: the shuffle files of this writing go as soon as it is done, not when the driver happens to collect its garbage."""
         path = f"{self.root}/{len(self.paths) + 1}"
         if not self.paths:
             fs, root = self._fs(self.root)
             fs.mkdirs(root)
             fs.deleteOnExit(root)
         self.paths.append(path)
-        df.write.parquet(path)
+        before = self.spark.conf.get(RELEASE, "false")
+        self.spark.conf.set(RELEASE, "true" if release else before)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(RELEASE, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
         return out

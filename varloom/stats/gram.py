@@ -355,7 +355,7 @@ def whole_gram(rows: DataFrame, near: list[str], digits: int | None = None) -> D
     and only a stretch of them is held. A pair with a parameter that no other group has is whole as it is; the others, of
     parameters that several groups have, are summed.
     """
-    x = Scratch(rows.sparkSession, "gram").stage(rows.where("w != 0").select(*near, "ps", "xs", "y", "w"))
+    x = Scratch(rows.sparkSession, "gram").stage(rows.where("w != 0").select(*near, "ps", "xs", "y", "w"), release=True)
     spread = x.select(*near, F.explode("ps").alias("p")).groupBy(*near, "p").agg(F.lit(1).alias("_")).groupBy("p").agg(F.collect_list(F.struct(*near)).alias("_n")).where(F.size("_n") > 1)
     shared = spread.select(F.explode("_n").alias("_n"), "p").groupBy(*[F.col(f"_n.{k}").alias(k) for k in near]).agg(F.collect_list("p").alias("ps"))
     none = F.lit(None).cast("array<double>")
@@ -430,10 +430,11 @@ def whole_gram(rows: DataFrame, near: list[str], digits: int | None = None) -> D
                         held.append(b.slice(lo, hi - lo))
             yield from made()
 
-        return both.mapInArrow(each, "p long, q long, value double")
+        return both.mapInArrow(each, "p long not null, q long not null, value double not null")  # nulls are not looked for in each of many rows
 
-    both_known = run(True).groupBy("p", "q").agg(F.sum("value").alias("value")).where("value <> 0")
-    return run(False).union(both_known if digits is None else both_known.withColumn("value", F.round("value", digits)))
+    whole = F.coalesce(F.sum("value"), F.lit(0.0))
+    both_known = run(True).groupBy("p", "q").agg(whole.alias("value")).where("value <> 0")
+    return run(False).union(both_known if digits is None else both_known.withColumn("value", F.coalesce(F.round("value", digits), "value")))
 
 
 def load(entries: pd.DataFrame | pa.Table, n_params: int) -> Quadratic:
